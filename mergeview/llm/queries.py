@@ -5,10 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mergeview.llm import bpe
+from mergeview.llm import bpe, jaccard, quality
+from mergeview.llm.tables import importable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -16,8 +18,19 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _ = jaccard.join(table(spark, sf_dir, "documents"))
+    return documents.select("doc_id", "n_shingles", "component_id")
+
+
+def op5_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.measure(table(spark, sf_dir, "documents"), {"multi": public_tokenizers.path("byte_bpe_multi_50k.tiktoken")}, public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_quality_fertility": op5_quality_fertility,
 }
 
 ORACLES: dict[str, str] = {}
