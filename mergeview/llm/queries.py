@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mergeview.llm import bpe, jaccard, quality
+from mergeview.llm import bpe, jaccard, licenses, mixing, pii, quality, urls
 from mergeview.llm.tables import importable
 
 
@@ -14,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), found_col="replaced").select("doc_id", "text", F.size("replaced").alias("n_replaced"), F.array_join(F.array_sort(F.array_distinct("replaced.kind")), ",").alias("kinds"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -27,10 +32,35 @@ def op5_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"), {"multi": public_tokenizers.path("byte_bpe_multi_50k.tiktoken")}, public_tokenizers.PATTERN)
 
 
+#: verdict, host, path
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+#: The list is made of the pages under hosts with one of these labels.
+LISTED_LABELS = ("spam-farm", "cheap-pills", "casino-win", "free-bets")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    host, path, query = urls.parts(F.col("url"))
+    listed = pages.where(F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, LISTED_LABELS)))).select(urls.canonical(host, path, query))
+    return urls.judge(pages, listed, URL_RULES)
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "block", "slot", "place")
+
+
 QUERIES = {
+    "op1_pii_pseudonyms": op1_pii_pseudonyms,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_quality_fertility": op5_quality_fertility,
+    "op6_url_filter": op6_url_filter,
+    "op9_license_scan": op9_license_scan,
+    "op10_pfair_mix": op10_pfair_mix,
 }
 
 ORACLES: dict[str, str] = {}
