@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergeview.llm import bpe, jaccard, licenses, mixing, pii, quality, urls
+from mergeview.llm import bpe, embeddings, jaccard, licenses, mixing, pii, quality, urls
 from mergeview.llm.tables import importable
 
 
@@ -23,6 +23,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_embedding_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = jaccard.join(table(spark, sf_dir, "documents"))
     return documents.select("doc_id", "n_shingles", "component_id")
@@ -56,6 +60,7 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii_pseudonyms": op1_pii_pseudonyms,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_embedding_itq": op3_embedding_itq,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_quality_fertility": op5_quality_fertility,
     "op6_url_filter": op6_url_filter,
