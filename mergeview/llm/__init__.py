@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules():
-    from mergeview.llm.queries import ORACLES, QUERIES
+    from mergeview.llm.catalog import ORACLES, QUERIES
 
     return QUERIES, ORACLES
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergeview.llm import bpe, embeddings, jaccard, licenses, mixing, pii, quality, urls
+from mergeview.llm import bpe, embeddings, jaccard, licenses, mixing, pii, quality, tokens, toxicity, urls
 from mergeview.llm.tables import importable
 
 
@@ -49,6 +49,14 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, listed, URL_RULES)
 
 
+def op7_toxicity_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_trie_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -64,6 +72,8 @@ QUERIES = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_quality_fertility": op5_quality_fertility,
     "op6_url_filter": op6_url_filter,
+    "op7_toxicity_kn": op7_toxicity_kn,
+    "op8_trie_tokens": op8_trie_tokens,
     "op9_license_scan": op9_license_scan,
     "op10_pfair_mix": op10_pfair_mix,
 }
