@@ -5,10 +5,11 @@ ORDER - 1 before it in its word.  Where a class has not seen a continuation it b
 both classes together (interpolated Kneser-Ney with continuation counts), so rare expressions, such as
 unseen endings of a toxic stem, share counts and cancel where neither class knows better.  A document's
 evidence is the difference of the log-likelihoods over its length, together with the same over each of
-its words: the largest, the mean of the five largest, and the mean excess over one half.  A logistic
-regression on labelled rows that the counts left out turns this into a score.
+its words: the largest, the mean of the five largest of different words, and the mean excess over one
+half.  A logistic regression on labelled rows that the counts left out turns this into a score; the
+scores then use counts that take in these rows as well.
 
-Characters fall into 32 classes (a-z with accents taken off, boundary, digits, four for other letters),
+Characters fall into 32 classes (a-z in either case, boundary, digits, four for other letters),
 so a model has at most 2**25 entries whatever the corpus, and that bounds what is sent to the executors.
 The counts cover all labelled rows of the counting folds.  Null and empty texts have no evidence and get
 the score of none.  Repeated rows give repeated results; a document labelled twice counts with its
@@ -17,7 +18,6 @@ larger label.
 
 from __future__ import annotations
 
-import unicodedata
 import uuid
 from collections.abc import Iterator
 
@@ -31,6 +31,7 @@ from mergeview.llm.words import CHUNK_BYTES
 ORDER = 5
 BITS = 5  # of a character class
 DISCOUNT = 0.75
+SHARED = 20.0  # times that a class's counts after a context hold the shared model's as well
 FIT_ROWS = 50_000  # labelled rows at most, those of smallest hash, for the logistic regression
 SEND_LABELS = 2_000_000  # labels up to which they are sent to the executors; beyond that they are joined by shuffle
 THRESHOLD = 0.3
@@ -42,8 +43,8 @@ def _classes() -> np.ndarray:
     for cp in range(0x3000):
         c = chr(cp)
         if c.isalpha():
-            base = unicodedata.normalize("NFD", c.lower())[0]
-            out[cp] = ord(base) - 96 if "a" <= base <= "z" else 27 + cp % 4
+            small = c.lower()[0]
+            out[cp] = ord(small) - 96 if "a" <= small <= "z" else 27 + ord(small) % 4
         elif c.isdigit():
             out[cp] = 31
     letters = np.arange(0x3000, 0x110000)
@@ -110,11 +111,11 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     return labelled.select("text", "toxic").mapInArrow(run, "g int, toxic long, ordinary long").groupBy("g").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def _interpolated(counts: DataFrame, count: str, low: str) -> Column:
-    """(max(c - D, 0) + D * kinds * low) / total, after each context; low where the context has no count."""
+def _interpolated(counts: DataFrame, count: str, low: str, prior: float) -> Column:
+    """(max(c - D, 0) + (D * kinds + prior) * low) / (total + prior), after each context; low where that has no count."""
     after = Window.partitionBy(F.shiftright("g", BITS))
     total, kinds = F.sum(count).over(after), F.sum((F.col(count) > 0).cast("int")).over(after)
-    return F.when(total > 0, (F.greatest(F.col(count) - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * F.col(low)) / total).otherwise(F.col(low))
+    return F.when(total > 0, (F.greatest(F.col(count) - DISCOUNT, F.lit(0.0)) + (DISCOUNT * kinds + prior) * F.col(low)) / (total + prior)).otherwise(F.col(low))
 
 
 def log_ratios(counts: DataFrame, saved: Saved) -> DataFrame:
@@ -128,11 +129,11 @@ def log_ratios(counts: DataFrame, saved: Saved) -> DataFrame:
     for k in range(2, ORDER + 1):
         lower = shared.select(F.col("g").alias("suffix"), F.col("p").alias("low"))
         joined = tables[k].withColumn("suffix", F.col("g").bitwiseAND((1 << BITS * (k - 1)) - 1)).join(lower, "suffix")
-        shared = joined.select("g", _interpolated(joined, "n", "low").alias("p"))
+        shared = joined.select("g", _interpolated(joined, "n", "low", 0.0).alias("p"))
     both = saved.keep(top.join(shared, "g"))
-    seen = both.select(F.lit(True).alias("seen"), F.col("g").alias("key"), F.log(_interpolated(both, "toxic", "p") / _interpolated(both, "ordinary", "p")).alias("ratio"))
+    seen = both.select(F.lit(True).alias("seen"), F.col("g").alias("key"), F.log(_interpolated(both, "toxic", "p", SHARED) / _interpolated(both, "ordinary", "p", SHARED)).alias("ratio"))
     # an unseen continuation differs by the classes' weights of the shared model alone
-    weight = lambda c: F.when(F.sum(c) > 0, DISCOUNT * F.sum((F.col(c) > 0).cast("int")) / F.sum(c)).otherwise(F.lit(1.0))
+    weight = lambda c: F.when(F.sum(c) > 0, (DISCOUNT * F.sum((F.col(c) > 0).cast("int")) + SHARED) / (F.sum(c) + SHARED)).otherwise(F.lit(1.0))
     contexts = both.groupBy(F.shiftright("g", BITS).alias("key")).agg(F.log(weight("toxic") / weight("ordinary")).alias("ratio"))
     return seen.union(contexts.select(F.lit(False), "key", "ratio"))
 
@@ -155,15 +156,19 @@ def _table(sent) -> np.ndarray:
 
 def evidence(text: str, table: np.ndarray) -> tuple[float, ...]:
     """Length-normalised difference of the whole text; its length; the words' largest, mean of five largest, mean excess."""
-    g = grams(text)
+    g = grams(text).astype(np.int64)
     v = table[g].astype(float)
     ends = np.flatnonzero((g & ((1 << BITS) - 1)) == 0)
     if not len(ends) or len(g) < 2:
         return (0.0,) * FEATURES
     starts = np.concatenate([[0], ends[:-1] + 1])
     words = np.add.reduceat(v, starts) / (ends + 1 - starts)
-    top = np.sort(words)[::-1][:5]
-    return float(v.mean()), float(np.log1p(len(g))), float(top[0]), float(top.mean()), float(np.maximum(words - 0.5, 0).mean())
+    place = np.arange(1, len(g) + 1) - np.repeat(starts, ends + 1 - starts)
+    _, different = np.unique(np.add.reduceat(g * place * place, starts), return_index=True)
+    top = np.zeros(5)
+    most = np.sort(words[different])[::-1][:5]
+    top[: len(most)] = most
+    return float(v.mean()), float(np.log1p(len(g))), float(most[0]), float(top.mean()), float(np.maximum(words - 0.5, 0).mean())
 
 
 def _features(rows: DataFrame, sent, extra: str) -> DataFrame:
@@ -208,21 +213,25 @@ def score(docs: DataFrame, labels: DataFrame, held_out_fold: int = 2, fit_fold:
     training = docs.where(fold(F.col("doc_id")) != held_out_fold).join(labels, "doc_id")
     counting, fitting = training.where(fold(F.col("doc_id")) != fit_fold), training.where(fold(F.col("doc_id")) == fit_fold)
 
-    ratios = log_ratios(gram_counts(counting), saved).toArrow()
-    seen = ratios["seen"].to_numpy()
-    keys, values = ratios["key"].to_numpy(), ratios["ratio"].to_numpy().astype(np.float32)
-    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, keys[seen], values[seen], keys[~seen], values[~seen]))
+    def sent(counts: DataFrame):
+        ratios = log_ratios(counts, saved).toArrow()
+        seen = ratios["seen"].to_numpy()
+        keys, values = ratios["key"].to_numpy(), ratios["ratio"].to_numpy().astype(np.float32)
+        return spark.sparkContext.broadcast((uuid.uuid4().hex, keys[seen], values[seen], keys[~seen], values[~seen]))
+
+    some, rest = (saved.keep(gram_counts(x)) for x in (counting, fitting))
 
     chosen = fitting.select("toxic", "text", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(FIT_ROWS).select("toxic", "text")
-    known = np.array(_features(chosen, sent, "toxic int").collect(), float).reshape(-1, 1 + FEATURES)
+    known = np.array(_features(chosen, sent(some), "toxic int").collect(), float).reshape(-1, 1 + FEATURES)
     y = known[:, 0]
     if 0 < y.sum() < len(y):
         intercept, weights = fit_logistic(known[:, 1:], y)
     else:  # one class or no rows: nothing to tell apart
         rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.01
         intercept, weights = float(np.log(rate / (1 - rate))), np.zeros(FEATURES)
+    every = some.union(rest).groupBy("g").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     logit = F.lit(intercept)
     for i, w in enumerate(weights):
         logit = logit + F.col(f"f{i}") * float(w)
-    out = _features(docs, sent, "doc_id long").withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit)))))
+    out = _features(docs, sent(every), "doc_id long").withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit)))))
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == held_out_fold, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
