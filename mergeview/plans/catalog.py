@@ -1,15 +1,671 @@
-"""Registry of the engine's queries and of the SQL that must give the same rows."""
+"""Registry of the engine's queries and of the SQL that must give the same rows.
+
+Each query derives its change log, runs and segments from the given tables by expression, so that both
+sides start from the same rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from mergeview.functions.hashing import hash_probes, murmur3_32
+from mergeview.functions.text import entry_size
+from mergeview.operators import blocks, bloom, compaction, folds, manifest, resolve
+from mergeview.schemas import BLOOM_HEADER, FOOTER, ROW_OVERHEAD
+from mergeview.sources import changelog as cl
+from mergeview.sources import wal
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+#: Common tables of the oracles.
+CTES = {
+    "log": "log AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS op, printf('user_%06d', user_id) AS key, props AS value, ts FROM events)",
+    "latest": "latest AS (SELECT seq, op, key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1)",
+    "segs": "segs AS (SELECT *, seq // 500 AS segment_id, seq % 500 AS lsn FROM log)",
+    "rundata": "rundata AS (SELECT seq // 1000 AS run_id, seq, op, key, value FROM (SELECT *, row_number() OVER (PARTITION BY seq // 1000, key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1)",
+    "runs": "runs AS (SELECT run_id, CAST(run_id % 3 AS INTEGER) AS level, count(*) AS num_entries, min(key) AS min_key, max(key) AS max_key, CAST(sum(strlen(key) + strlen(value) + 8) AS BIGINT) AS file_size, min(seq) AS min_seq, max(seq) AS max_seq FROM rundata GROUP BY run_id)",
+    "levels": "levels AS (SELECT level, count(*) AS n_runs, CAST(sum(file_size) AS BIGINT) AS total_size, CASE WHEN level = 0 THEN 0 ELSE CAST(5000 * power(10, level - 1) AS BIGINT) END AS size_limit FROM runs GROUP BY level)",
+    "probes": "probes AS (SELECT DISTINCT printf('user_%06d', c_custkey) AS key FROM customer WHERE c_custkey % 7 = 0)",
+    "bulk": "bulk AS (SELECT printf('order_%010d', o_orderkey) AS key, o_orderstatus AS value, o_orderkey // 5000 AS run_id FROM orders)",
+    "urls": "urls AS (SELECT url AS key, substr(url, 1, 20) AS grp FROM (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL))",
+}
+NEEDS = {"latest": ["log"], "segs": ["log"], "rundata": ["log"], "runs": ["rundata"], "levels": ["runs"]}
+LEVEL_BASE = 5_000  # bytes of level 1 here, so that small runs reach the limits
+PACK_LIMIT, FLUSH_LIMIT, SPLIT_LIMIT = 512, 4096, 2000
+
+
+def _with(names: list[str]) -> str:
+    done: list[str] = []
+
+    def add(name: str) -> None:
+        for x in NEEDS.get(name, []):
+            add(x)
+        if name not in done:
+            done.append(name)
+
+    for name in names:
+        add(name)
+    return f"WITH {', '.join(CTES[n] for n in done)} " if done else ""
+
+
+def query(name: str, ctes: str = "", sql: str | None = None):
+    def take(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = _with(ctes.split()) + sql
+        return f
+
+    return take
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cl.read_changelog(spark, sf_dir)
+
+
+def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.latest_wins(_log(spark, sf_dir)).select("seq", "op", "key", "value")
+
+
+def _segs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cl.segments(_log(spark, sf_dir))
+
+
+def _rundata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cl.run_data(_log(spark, sf_dir)).select("run_id", "seq", "op", "key", "value")
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cl.run_meta(_rundata(spark, sf_dir))
+
+
+def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 7 = 0").select(F.format_string("user_%06d", "c_custkey").alias("key")).distinct()
+
+
+def _bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(F.format_string("order_%010d", "o_orderkey").alias("key"), F.col("o_orderstatus").alias("value"), F.floor(F.col("o_orderkey") / 5000).alias("run_id"))
+
+
+def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").where("url is not null").select(F.col("url").alias("key")).distinct().withColumn("grp", F.substring("key", 1, 20))
+
+
+# --- write-ahead log ---
+
+
+@query("wal_segments", "segs", "SELECT segment_id, count(*) AS n, min(lsn) AS first_lsn, max(lsn) AS last_lsn FROM segs GROUP BY segment_id")
+def _(spark, d):
+    return _segs(spark, d).groupBy("segment_id").agg(F.count("*").alias("n"), F.min("lsn").alias("first_lsn"), F.max("lsn").alias("last_lsn"))
+
+
+@query("wal_entry_count", "segs", "SELECT segment_id, count(*) AS entry_count FROM segs GROUP BY segment_id")
+def _(spark, d):
+    return _segs(spark, d).groupBy("segment_id").agg(F.count("*").alias("entry_count"))
+
+
+@query("wal_append", "segs", "SELECT segment_id, lsn, op, key, CASE WHEN op = 2 THEN '' ELSE value END AS payload FROM segs")
+def _(spark, d):
+    return wal.appended(_segs(spark, d)).select("segment_id", "lsn", "op", "key", F.col("value").cast("string").alias("payload"))
+
+
+@query("wal_frame_size", "segs", "SELECT segment_id, CAST(sum(13 + strlen(key) + CASE WHEN op = 2 THEN 0 ELSE strlen(value) END) AS BIGINT) AS bytes FROM segs GROUP BY segment_id")
+def _(spark, d):
+    return wal.appended(_segs(spark, d)).groupBy("segment_id").agg(F.sum("frame_size").alias("bytes"))
+
+
+@query("wal_crc")
+def _(spark, d):
+    return wal.appended(_segs(spark, d)).select("segment_id", "lsn", "crc")
+
+
+@query("wal_truncate", "segs", "SELECT segment_id, lsn, key FROM segs WHERE segment_id % 3 <> 0")
+def _(spark, d):
+    records = _segs(spark, d)
+    flushed = records.groupBy("segment_id").agg(F.max("lsn").alias("last")).select("segment_id", F.when(F.col("segment_id") % 3 == 0, F.col("last")).otherwise(F.col("last") - 1).alias("flushed_lsn"))
+    return wal.truncated(records, flushed).select("segment_id", "lsn", "key")
+
+
+_bad = "seq % 97 = 41"
+
+
+@query("wal_valid_prefix", "segs", f"SELECT segment_id, lsn, op, key FROM (SELECT *, bool_and(NOT ({_bad})) OVER (PARTITION BY segment_id ORDER BY lsn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fine FROM segs) WHERE fine")
+def _(spark, d):
+    return wal.valid_prefix(_segs(spark, d).withColumn("ok", ~F.expr(_bad))).select("segment_id", "lsn", "op", "key")
+
+
+@query("wal_bad_ops", "segs", "SELECT segment_id, lsn, CAST(CASE WHEN seq % 101 = 7 THEN 9 ELSE op END AS INTEGER) AS op FROM segs WHERE seq % 101 = 7")
+def _(spark, d):
+    return wal.bad_ops(_segs(spark, d).withColumn("op", F.when(F.col("seq") % 101 == 7, 9).otherwise(F.col("op")))).select("segment_id", "lsn", "op")
+
+
+@query("crash_recovery", "segs", f"SELECT key, op, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM (SELECT *, bool_and(NOT ({_bad})) OVER (PARTITION BY segment_id ORDER BY lsn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fine FROM segs) WHERE fine) WHERE rn = 1")
+def _(spark, d):
+    return resolve.latest_wins(wal.valid_prefix(_segs(spark, d).withColumn("ok", ~F.expr(_bad)))).select("key", "op", "seq")
+
+
+# --- memtable and ordered map ---
+
+
+@query("current_state", "latest", "SELECT key, value, seq FROM latest WHERE op = 1")
+def current_state(spark, d):
+    return resolve.visible(_latest(spark, d)).select("key", "value", "seq")
+
+
+@query("memtable_upsert", "latest", "SELECT key, op, value FROM latest")
+def _(spark, d):
+    return _latest(spark, d).select("key", "op", "value")
+
+
+@query("memtable_delete", "log", "SELECT key, CAST(sum(CASE WHEN op = 2 THEN 1 ELSE 0 END) AS BIGINT) AS n_deletes, max(seq) AS last_seq FROM log GROUP BY key")
+def _(spark, d):
+    return _log(spark, d).groupBy("key").agg(F.sum(F.when(F.col("op") == 2, 1).otherwise(0)).alias("n_deletes"), F.max("seq").alias("last_seq"))
+
+
+@query("get_three_state", "latest probes", "SELECT p.key AS key, CASE WHEN l.op IS NULL THEN 'ABSENT' WHEN l.op = 2 THEN 'DELETED' ELSE 'FOUND' END AS state, CASE WHEN l.op = 1 THEN l.value END AS value FROM probes p LEFT JOIN latest l ON p.key = l.key")
+def _(spark, d):
+    return resolve.three_state(_latest(spark, d), _probes(spark, d))
+
+
+@query("memtable_scan", "latest", "SELECT key, op, seq FROM latest ORDER BY key")
+def _(spark, d):
+    return _latest(spark, d).select("key", "op", "seq").orderBy("key")
+
+
+@query("memtable_count", "segs", "SELECT segment_id, count(DISTINCT key) AS n_keys FROM segs GROUP BY segment_id")
+def _(spark, d):
+    return _segs(spark, d).groupBy("segment_id").agg(F.countDistinct("key").alias("n_keys"))
+
+
+_write = "length(key) + strlen(CASE WHEN op = 2 THEN '' ELSE value END) + 64"
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("size", (F.length("key") + F.when(F.col("op") == 2, 0).otherwise(F.octet_length("value")) + ROW_OVERHEAD).cast("long"))
+
+
+@query("memtable_bytes", "segs", f"SELECT segment_id, lsn, CAST(sum({_write}) OVER (PARTITION BY segment_id ORDER BY lsn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS bytes FROM segs")
+def _(spark, d):
+    upto = Window.partitionBy("segment_id").orderBy("lsn").rowsBetween(Window.unboundedPreceding, 0)
+    return _sized(_segs(spark, d)).select("segment_id", "lsn", F.sum("size").over(upto).alias("bytes"))
+
+
+@query("flush_due", "segs", f"SELECT segment_id, min(lsn) AS due_at FROM (SELECT segment_id, lsn, sum({_write}) OVER (PARTITION BY segment_id ORDER BY lsn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bytes FROM segs) WHERE bytes >= {FLUSH_LIMIT} GROUP BY segment_id")
+def _(spark, d):
+    return QUERIES["memtable_bytes"](spark, d).where(F.col("bytes") >= FLUSH_LIMIT).groupBy("segment_id").agg(F.min("lsn").alias("due_at"))
+
+
+def _fold_sql(source: str, by: str, order: str, size: str, limit: int, group: str, columns: str) -> str:
+    """The greedy fold as a recursion over row numbers, beginning anew in each sequence."""
+    return (
+        f", numbered AS (SELECT {by} AS b, {order} AS o, CAST({size} AS BIGINT) AS s, row_number() OVER (PARTITION BY {by} ORDER BY {order}) AS rn FROM {source}), "
+        f"fold AS (SELECT b, o, s, rn, 0::BIGINT AS g, CASE WHEN s >= {limit} THEN 0::BIGINT ELSE s END AS acc, CASE WHEN s >= {limit} THEN 1::BIGINT ELSE 0::BIGINT END AS nxt FROM numbered WHERE rn = 1 "
+        f"UNION ALL SELECT n.b, n.o, n.s, n.rn, f.nxt AS g, CASE WHEN f.acc + n.s >= {limit} THEN 0::BIGINT ELSE f.acc + n.s END, CASE WHEN f.acc + n.s >= {limit} THEN f.nxt + 1 ELSE f.nxt END FROM fold f JOIN numbered n ON n.b = f.b AND n.rn = f.rn + 1) "
+        f"SELECT b AS {by}, g AS {group}, {columns} FROM fold GROUP BY b, g"
+    )
+
+
+def _recursive(name: str, ctes: str, sql: str) -> None:
+    ORACLES[name] = ("WITH RECURSIVE " + _with(ctes.split()).removeprefix("WITH ").rstrip()) + sql
+
+
+@query("flush_generations")
+def _(spark, d):
+    g = folds.greedy_groups(_sized(_segs(spark, d)).select("segment_id", "lsn", "size"), ["segment_id"], "lsn", "size", FLUSH_LIMIT, "generation")
+    return g.groupBy("segment_id", "generation").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+_recursive("flush_generations", "segs", _fold_sql("segs", "segment_id", "lsn", _write, FLUSH_LIMIT, "generation", "count(*) AS n, CAST(sum(s) AS BIGINT) AS bytes"))
+
+
+@query("tombstones", "latest", "SELECT key, seq FROM latest WHERE op = 2")
+def _(spark, d):
+    return resolve.tombstones(_latest(spark, d)).select("key", "seq")
+
+
+@query("map_size", "latest", "SELECT count(*) AS size FROM latest")
+def _(spark, d):
+    return _latest(spark, d).agg(F.count("*").alias("size"))
+
+
+@query("point_get", "latest", "SELECT key, value FROM latest WHERE op = 1 AND key = 'user_000007'")
+def _(spark, d):
+    return resolve.visible(resolve.latest_wins(_log(spark, d).where("key = 'user_000007'"))).select("key", "value")
+
+
+@query("contains", "latest probes", "SELECT key FROM probes WHERE key IN (SELECT key FROM latest WHERE op = 1)")
+def _(spark, d):
+    return _probes(spark, d).join(resolve.visible(_latest(spark, d)), "key", "left_semi")
+
+
+@query("ordered_scan", "latest", "SELECT key, value FROM latest WHERE op = 1 ORDER BY key")
+def _(spark, d):
+    return resolve.visible(_latest(spark, d)).select("key", "value").orderBy("key")
+
+
+@query("map_put", "log", "SELECT key, max_by(value, seq) AS value, count(*) AS n_writes FROM log WHERE op = 1 GROUP BY key")
+def _(spark, d):
+    return _log(spark, d).where("op = 1").groupBy("key").agg(F.max_by("value", "seq").alias("value"), F.count("*").alias("n_writes"))
+
+
+@query("physical_delete", "latest probes", "SELECT key, value FROM latest WHERE key NOT IN (SELECT key FROM probes)")
+def _(spark, d):
+    return resolve.physical_delete(_latest(spark, d), _probes(spark, d)).select("key", "value")
+
+
+@query("min_max_key", "latest", "SELECT min(key) AS min_key, max(key) AS max_key FROM latest")
+def _(spark, d):
+    return _latest(spark, d).agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"))
+
+
+# --- blocks ---
+
+_prefix_sql = "CASE WHEN prev IS NULL THEN 0 ELSE len(list_filter(range(1, least(length(key), length(prev)) + 1), lambda i: substr(key, 1, CAST(i AS BIGINT)) = substr(prev, 1, CAST(i AS BIGINT)))) END"
+
+
+@query("shared_prefix", "urls", f"SELECT key, CAST({_prefix_sql} AS INTEGER) AS shared FROM (SELECT *, lag(key) OVER (PARTITION BY grp ORDER BY key) AS prev FROM urls)")
+def _(spark, d):
+    return blocks.with_shared(_urls(spark, d), ["grp"]).select("key", "shared")
+
+
+@query("prefix_compression_ratio", "urls", f"SELECT CAST(sum(length(key)) AS BIGINT) AS chars, CAST(sum({_prefix_sql}) AS BIGINT) AS shared FROM (SELECT *, lag(key) OVER (PARTITION BY grp ORDER BY key) AS prev FROM urls)")
+def _(spark, d):
+    return blocks.with_shared(_urls(spark, d), ["grp"]).agg(F.sum(F.length("key")).cast("long").alias("chars"), F.sum("shared").cast("long").alias("shared"))
+
+
+@query("prefix_roundtrip", "urls", "SELECT grp, key FROM urls")
+def _(spark, d):
+    coded = blocks.with_shared(_urls(spark, d), ["grp"]).select("grp", F.row_number().over(Window.partitionBy("grp").orderBy("key")).alias("rn"), "shared", F.expr("substring(key, shared + 1)").alias("suffix"))
+    return blocks.decoded(coded, ["grp"]).select("grp", "key")
+
+
+def _blocks(spark, d):
+    return blocks.packed(_rundata(spark, d), ["run_id"], PACK_LIMIT)
+
+
+_entry = "strlen(key) + strlen(value) + 8"
+
+
+@query("block_pack")
+def _(spark, d):
+    return _blocks(spark, d).groupBy("run_id", "block_id").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+_recursive("block_pack", "rundata", _fold_sql("rundata", "run_id", "key", _entry, PACK_LIMIT, "block_id", "count(*) AS n, CAST(sum(s) AS BIGINT) AS bytes"))
+
+
+@query("block_stats")
+def _(spark, d):
+    return _blocks(spark, d).groupBy("run_id", "block_id").agg(F.count("*").alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"), (F.sum("size") + 4).alias("size"), (F.sum("size") >= PACK_LIMIT).alias("is_full"))
+
+
+_recursive("block_stats", "rundata", _fold_sql("rundata", "run_id", "key", _entry, PACK_LIMIT, "block_id", f"count(*) AS n, min(o) AS first_key, max(o) AS last_key, CAST(sum(s) + 4 AS BIGINT) AS size, sum(s) >= {PACK_LIMIT} AS is_full"))
+
+
+@query("sparse_index")
+def _(spark, d):
+    return blocks.sparse_index(_blocks(spark, d), ["run_id"]).select("run_id", "block_id", "first_key", "n", "size", "offset")
+
+
+_recursive(
+    "sparse_index", "rundata",
+    ", each AS (" + _fold_sql("rundata", "run_id", "key", _entry, PACK_LIMIT, "block_id", "count(*) AS n, min(o) AS first_key, CAST(sum(s) + 4 AS BIGINT) AS size").replace(", numbered AS", "WITH RECURSIVE numbered AS", 1)
+    + ") SELECT run_id, block_id, first_key, n, size, CAST(coalesce(sum(size + 4) OVER (PARTITION BY run_id ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM each",
+)
+
+
+@query("run_file_size", "rundata", f"SELECT run_id, CAST({FOOTER} + {BLOOM_HEADER} + (greatest(64, count(*) * 10) + 7) // 8 + sum({_entry}) AS BIGINT) AS least_size FROM rundata GROUP BY run_id")
+def _(spark, d):
+    each = _rundata(spark, d).groupBy("run_id").agg(F.count("*").alias("n"), F.sum(entry_size(F.col("key"), F.col("value"))).alias("entries"))
+    return each.select("run_id", (F.lit(FOOTER + BLOOM_HEADER) + F.floor((bloom.num_bits(F.col("n")) + 7) / 8) + F.col("entries")).cast("long").alias("least_size"))
+
+
+@query("block_find", "rundata", "SELECT run_id, key, seq, op FROM rundata WHERE key = 'user_000011'")
+def _(spark, d):
+    return _rundata(spark, d).where("key = 'user_000011'").select("run_id", "key", "seq", "op")
+
+
+# --- runs ---
+
+
+@query("run_flush", "rundata", "SELECT run_id, key, op, seq FROM rundata ORDER BY run_id, key")
+def _(spark, d):
+    return _rundata(spark, d).select("run_id", "key", "op", "seq").orderBy("run_id", "key")
+
+
+@query("run_meta", "runs", "SELECT * FROM runs")
+def _(spark, d):
+    return _runs(spark, d)
+
+
+@query("run_overlaps", "runs", "SELECT a.run_id AS a, b.run_id AS b FROM runs a JOIN runs b ON a.run_id < b.run_id AND a.min_key <= b.max_key AND b.min_key <= a.max_key")
+def _(spark, d):
+    a, b = _runs(spark, d).alias("a"), _runs(spark, d).alias("b")
+    return a.join(b, F.expr("a.run_id < b.run_id and a.min_key <= b.max_key and b.min_key <= a.max_key")).select(F.col("a.run_id").alias("a"), F.col("b.run_id").alias("b"))
+
+
+@query("run_read", "bulk", "SELECT run_id, count(*) AS n, min(key) AS min_key FROM bulk GROUP BY run_id")
+def _(spark, d):
+    return _bulk(spark, d).groupBy("run_id").agg(F.count("*").alias("n"), F.min("key").alias("min_key"))
+
+
+@query("run_get", "bulk", "SELECT key, value FROM bulk WHERE key IN ('order_0000000001', 'order_0000000777', 'order_9999999999')")
+def _(spark, d):
+    return _bulk(spark, d).where(F.col("key").isin("order_0000000001", "order_0000000777", "order_9999999999")).select("key", "value")
+
+
+@query("run_scan", "bulk", "SELECT key, value FROM bulk ORDER BY key")
+def _(spark, d):
+    return _bulk(spark, d).select("key", "value").orderBy("key")
+
+
+@query("range_scan", "bulk", "SELECT key, value FROM bulk WHERE key BETWEEN 'order_0000000100' AND 'order_0000000200' ORDER BY key")
+def _(spark, d):
+    return resolve.range_scan(_bulk(spark, d).select("key", "value"), "order_0000000100", "order_0000000200")
+
+
+@query("floor_block", "bulk", "SELECT p.run_id AS run_id, p.key AS key, max(i.block_id) AS block_id FROM (SELECT run_id, key || 'x' AS key FROM bulk WHERE value = 'F') p LEFT JOIN (SELECT run_id, block_id, min(key) AS first_key FROM (SELECT run_id, key, (row_number() OVER (PARTITION BY run_id ORDER BY key) - 1) // 100 AS block_id FROM bulk) GROUP BY run_id, block_id) i ON p.run_id = i.run_id AND i.first_key <= p.key GROUP BY p.run_id, p.key")
+def _(spark, d):
+    bulk = _bulk(spark, d)
+    index = bulk.withColumn("block_id", F.floor((F.row_number().over(Window.partitionBy("run_id").orderBy("key")) - 1) / 100)).groupBy("run_id", "block_id").agg(F.min("key").alias("first_key"))
+    probes = bulk.where("value = 'F'").select("run_id", F.concat("key", F.lit("x")).alias("key"))
+    return blocks.floor_block(index, probes, ["run_id"]).select("run_id", "key", "block_id")
+
+
+# --- Bloom filters and hashing ---
+
+
+@query("bloom_sizing", "", "SELECT CAST(c_custkey AS BIGINT) AS n, CAST(greatest(64, c_custkey * 10) AS BIGINT) AS m, CAST(greatest(1, round_even(greatest(64, c_custkey * 10)::DOUBLE / greatest(c_custkey, 1) * 0.6931471805599453, 0)) AS INTEGER) AS k FROM customer")
+def _(spark, d):
+    n = F.col("c_custkey")
+    m = bloom.num_bits(n)
+    return spark.read.parquet(f"{d}/customer.parquet").select(n.alias("n"), m.alias("m"), bloom.num_hashes(n, m).alias("k"))
+
+
+@query("bloom_from_fpr", "", "SELECT c_custkey AS i, round(-ln(1.0 / (c_custkey + 2)::DOUBLE) / power(0.6931471805599453, 2), 9) AS bits_per_key FROM customer")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("i"), F.round(bloom.bits_per_key(1.0 / (F.col("c_custkey") + 2)), 9).alias("bits_per_key"))
+
+
+@query("bloom_stats", "rundata", "SELECT run_id, count(*) AS n, CAST(greatest(64, count(*) * 10) AS BIGINT) AS m FROM rundata GROUP BY run_id")
+def _(spark, d):
+    return _rundata(spark, d).groupBy("run_id").agg(F.count("*").alias("n")).select("run_id", "n", bloom.num_bits(F.col("n")).alias("m"))
+
+
+@query("bloom_theoretical_fpr", "rundata", "SELECT run_id, round(power(1 - exp(-7.0::DOUBLE * count(*) / greatest(64, count(*) * 10)), 7), 12) AS rate FROM rundata GROUP BY run_id")
+def _(spark, d):
+    return QUERIES["bloom_stats"](spark, d).select("run_id", F.round(bloom.theoretical_rate(F.col("n"), F.col("m"), F.lit(7.0)), 12).alias("rate"))
+
+
+@query("murmur3")
+def _(spark, d):
+    return _latest(spark, d).select("key", murmur3_32(F.col("key")).alias("h0"), murmur3_32(F.col("key"), 42).alias("h42"))
+
+
+@query("hash_probes")
+def _(spark, d):
+    return _latest(spark, d).select("key", hash_probes(F.col("key"), 7, 128).alias("probes"))
+
+
+@query("bloom_build")
+def _(spark, d):
+    return bloom.set_bits(_rundata(spark, d), 2048, 7, ["run_id"])
+
+
+@query("bloom_probe", "latest probes", "SELECT key, true AS found FROM probes WHERE key IN (SELECT key FROM latest)")
+def _(spark, d):
+    """Filter, then check: the filter alone may say yes too often, never no too often."""
+    keys = _latest(spark, d)
+    maybe = bloom.probe(bloom.set_bits(keys, 1 << 14, 7), _probes(spark, d), 1 << 14, 7).where("maybe")
+    return maybe.join(keys, "key", "left_semi").select("key", F.lit(True).alias("found"))
+
+
+@query("run_bloom_probe", "rundata probes", "SELECT DISTINCT r.run_id AS run_id, p.key AS key FROM probes p JOIN rundata r ON p.key = r.key")
+def _(spark, d):
+    data, probes = _rundata(spark, d), _probes(spark, d)
+    bits = bloom.set_bits(data, 4096, 7, ["run_id"])
+    asked = probes.select("key", F.explode(hash_probes(F.col("key"), 7, 4096)).alias("bit")).distinct()
+    needed = asked.groupBy("key").agg(F.count("*").alias("needed"))
+    passed = asked.join(bits, "bit").groupBy("run_id", "key").agg(F.count("*").alias("n")).join(needed, "key").where("n = needed")
+    return passed.select("run_id", "key").join(data, ["run_id", "key"], "left_semi")
+
+
+@query("bloom_roundtrip", "rundata", "SELECT run_id, count(*) AS members, count(*) AS found FROM rundata GROUP BY run_id")
+def _(spark, d):
+    """Bits packed to bitmaps and unpacked again still hold every member."""
+    data = _rundata(spark, d)
+    bits = bloom.set_bits(data, 4096, 7, ["run_id"])
+    packed = bits.groupBy("run_id", (F.col("bit") / 60).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 60 as int))")).alias("mask"))
+    unpacked = packed.select("run_id", F.explode(F.expr("filter(transform(sequence(0, 59), i -> if(shiftright(mask, i) & 1L = 1L, word * 60L + i, null)), x -> x is not null)")).alias("bit"))
+    asked = data.select("run_id", "key", F.explode(hash_probes(F.col("key"), 7, 4096)).alias("bit"))
+    hit = asked.join(unpacked.withColumn("hit", F.lit(True)), ["run_id", "bit"], "left").groupBy("run_id", "key").agg(F.bool_and(F.coalesce("hit", F.lit(False))).alias("maybe"))
+    return hit.groupBy("run_id").agg(F.count("*").alias("members"), F.count_if("maybe").alias("found"))
+
+
+@query("bloom_empirical_fpr")
+def _(spark, d):
+    members = spark.range(2000).select(F.format_string("member_%d", "id").alias("key"))
+    others = spark.range(2000).select(F.format_string("nonmember_%d", "id").alias("key"))
+    hits = bloom.probe(bloom.set_bits(members, 20_000, 7), others, 20_000, 7)
+    return hits.agg(F.count("*").alias("trials"), F.count_if("maybe").alias("false_positives"))
+
+
+# --- manifest ---
+
+
+@query("level_stats", "levels", "SELECT level, n_runs, total_size FROM levels")
+def _(spark, d):
+    return manifest.level_stats(_runs(spark, d))
+
+
+@query("levels_over_limit", "levels", "SELECT level, total_size, size_limit FROM levels WHERE size_limit > 0 AND total_size > size_limit")
+def _(spark, d):
+    return manifest.triggers(_runs(spark, d), LEVEL_BASE).where("size_limit > 0 and total_size > size_limit").select("level", "total_size", "size_limit")
+
+
+@query("runs_for_range", "runs", "SELECT run_id FROM runs WHERE min_key <= 'user_000020' AND max_key >= 'user_000010'")
+def _(spark, d):
+    return manifest.overlapping(_runs(spark, d), F.lit("user_000010"), F.lit("user_000020")).select("run_id")
+
+
+@query("level_limits", "", "SELECT CAST(i AS INTEGER) AS level, CASE WHEN i = 0 THEN 0 ELSE CAST(10485760 * power(10, i - 1) AS BIGINT) END AS size_limit FROM range(0, 7) t(i)")
+def _(spark, d):
+    return spark.range(7).select(F.col("id").cast("int").alias("level")).withColumn("size_limit", manifest.level_limit(F.col("level")))
+
+
+@query("live_runs", "runs", "SELECT run_id, level, min_key, max_seq FROM runs ORDER BY max_seq DESC")
+def _(spark, d):
+    return _runs(spark, d).select("run_id", "level", "min_key", "max_seq").orderBy(F.desc("max_seq"))
+
+
+@query("manifest_history", "runs", "SELECT a.run_id AS version, b.run_id AS run_id FROM runs a JOIN runs b ON b.run_id <= a.run_id AND NOT (b.run_id % 2 = 0 AND b.run_id < a.run_id - 1)")
+def _(spark, d):
+    """Version v holds the runs added up to v, less the even ones that a later version took out."""
+    ids = _runs(spark, d).select("run_id")
+    added = ids.select(F.col("run_id").alias("version")).join(ids, F.expr("run_id <= version"))
+    removed = ids.select(F.col("run_id").alias("version")).join(ids.where("run_id % 2 = 0"), F.expr("run_id < version - 1"))
+    return added.join(removed, ["version", "run_id"], "left_anti")
+
+
+@query("compaction_triggers", "levels", "SELECT level, n_runs, total_size, size_limit, CASE WHEN level = 0 THEN n_runs >= 4 ELSE size_limit > 0 AND total_size > size_limit END AS due FROM levels")
+def _(spark, d):
+    return manifest.triggers(_runs(spark, d), LEVEL_BASE)
+
+
+@query("manifest_summary", "levels", "SELECT printf('L%d: %d runs, %d bytes', level, n_runs, total_size) AS line FROM levels")
+def _(spark, d):
+    return manifest.level_stats(_runs(spark, d)).select(F.format_string("L%d: %d runs, %d bytes", "level", "n_runs", "total_size").alias("line"))
+
+
+@query("manifest_json")
+def _(spark, d):
+    return _runs(spark, d).select("run_id", F.to_json(F.struct("run_id", "level", "num_entries", "min_key", "max_key", "file_size")).alias("json"))
+
+
+@query("level_rollup", "runs", "SELECT level, run_id, CAST(sum(num_entries) AS BIGINT) AS n FROM runs GROUP BY ROLLUP (level, run_id)")
+def _(spark, d):
+    return _runs(spark, d).rollup("level", "run_id").agg(F.sum("num_entries").alias("n"))
+
+
+# --- compaction ---
+
+
+@query("merge_runs", "rundata", "SELECT key, op, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM rundata) WHERE rn = 1")
+def _(spark, d):
+    return compaction.merge_runs(_rundata(spark, d)).select("key", "op", "seq")
+
+
+@query("compact_drop_tombstones", "rundata", "SELECT key, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM rundata) WHERE rn = 1 AND op = 1")
+def _(spark, d):
+    return compaction.merge_runs(_rundata(spark, d), drop_deletes=True).select("key", "seq")
+
+
+_ratio = "CAST(CASE WHEN run_id % 4 = 0 THEN 3 WHEN run_id % 4 = 1 THEN 10 ELSE 1 END AS BIGINT)"
+
+
+def _uneven(spark, d):
+    """Runs with sizes of three kinds."""
+    return _runs(spark, d).withColumn("file_size", (F.col("num_entries") * F.expr(_ratio)).cast("long"))
+
+
+_buckets = (
+    f", sized AS (SELECT run_id, num_entries * {_ratio} AS file_size FROM runs), numbered AS (SELECT *, row_number() OVER (ORDER BY file_size, run_id) AS rn FROM sized), "
+    "fold AS (SELECT run_id, file_size, rn, file_size AS total, 1::BIGINT AS n, 0::BIGINT AS bucket FROM numbered WHERE rn = 1 UNION ALL "
+    "SELECT x.run_id, x.file_size, x.rn, CASE WHEN f.total > 0 AND x.file_size * f.n >= 0.5 * f.total AND x.file_size * f.n <= 1.5 * f.total THEN f.total + x.file_size ELSE x.file_size END, "
+    "CASE WHEN f.total > 0 AND x.file_size * f.n >= 0.5 * f.total AND x.file_size * f.n <= 1.5 * f.total THEN f.n + 1 ELSE 1 END, "
+    "CASE WHEN f.total > 0 AND x.file_size * f.n >= 0.5 * f.total AND x.file_size * f.n <= 1.5 * f.total THEN f.bucket ELSE f.bucket + 1 END FROM fold f JOIN numbered x ON x.rn = f.rn + 1) "
+)
+
+
+@query("stcs_buckets")
+def _(spark, d):
+    return folds.size_buckets(_uneven(spark, d))
+
+
+_recursive("stcs_buckets", "runs", _buckets + "SELECT run_id, file_size, bucket FROM fold")
+
+
+@query("stcs_due")
+def _(spark, d):
+    return folds.size_buckets(_uneven(spark, d)).groupBy("bucket").count().agg(F.coalesce(F.max("count") >= compaction.MIN_RUNS, F.lit(False)).alias("due"))
+
+
+_recursive("stcs_due", "runs", _buckets + "SELECT max(n) >= 4 AS due FROM (SELECT count(*) AS n FROM fold GROUP BY bucket)")
+
+
+@query("stcs_pick")
+def _(spark, d):
+    return compaction.tiered_pick(_uneven(spark, d)).select("run_id", "bucket", "file_size")
+
+
+_picked = "best AS (SELECT bucket FROM fold GROUP BY bucket HAVING count(*) >= 4 ORDER BY count(*) DESC, bucket LIMIT 1), picked AS (SELECT run_id, bucket, file_size FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY file_size, run_id) AS rk FROM fold WHERE bucket IN (SELECT bucket FROM best)) WHERE rk <= 32)"
+_recursive("stcs_pick", "runs", _buckets.rstrip() + ", " + _picked + " SELECT run_id, bucket, file_size FROM picked")
+
+
+@query("stcs_compact")
+def _(spark, d):
+    picked = compaction.tiered_pick(_uneven(spark, d)).select("run_id")
+    return compaction.merge_runs(_rundata(spark, d).join(picked, "run_id", "left_semi")).select("key", "op", "seq")
+
+
+_recursive("stcs_compact", "runs", _buckets.rstrip() + ", " + _picked + " SELECT key, op, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM rundata WHERE run_id IN (SELECT run_id FROM picked)) WHERE rn = 1")
+
+
+@query("lcs_due", "levels", "SELECT coalesce(bool_or(CASE WHEN level = 0 THEN n_runs >= 4 ELSE total_size > size_limit END), false) AS due FROM levels WHERE level < 2")
+def _(spark, d):
+    """The last level has no limit, so it is never due."""
+    return manifest.triggers(_runs(spark, d), LEVEL_BASE).where("level < 2").agg(F.coalesce(F.bool_or("due"), F.lit(False)).alias("due"))
+
+
+@query("lcs_pick_level", "levels", "SELECT min(level) AS level FROM levels WHERE level < 2 AND CASE WHEN level = 0 THEN n_runs >= 4 ELSE size_limit > 0 AND total_size > size_limit END")
+def _(spark, d):
+    return compaction.level_pick(_runs(spark, d), LEVEL_BASE, manifest.L0_RUNS, 2)
+
+
+_victim = "SELECT a.run_id, a.min_key, a.max_key, CAST(coalesce(sum(b.file_size), 0) AS BIGINT) AS overlap_bytes FROM runs a LEFT JOIN runs b ON b.level = 2 AND b.min_key <= a.max_key AND a.min_key <= b.max_key WHERE a.level = 1 GROUP BY a.run_id, a.min_key, a.max_key ORDER BY overlap_bytes, a.min_key LIMIT 1"
+
+
+@query("lcs_pick_run", "runs", f"SELECT run_id, overlap_bytes FROM ({_victim})")
+def _(spark, d):
+    return compaction.victim(_runs(spark, d), 1).select("run_id", "overlap_bytes")
+
+
+@query("lcs_l0_to_l1", "runs", "SELECT key, op, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM rundata WHERE run_id IN (SELECT run_id FROM runs WHERE level = 0 UNION SELECT b.run_id FROM runs b, (SELECT min(min_key) AS lo, max(max_key) AS hi FROM runs WHERE level = 0) s WHERE b.level = 1 AND b.min_key <= s.hi AND s.lo <= b.max_key)) WHERE rn = 1")
+def _(spark, d):
+    runs = _runs(spark, d)
+    inputs = compaction.level_inputs(runs, runs.where("level = 0"), 0)
+    return compaction.merge_runs(_rundata(spark, d).join(inputs, "run_id", "left_semi")).select("key", "op", "seq")
+
+
+@query("lcs_level_down", "runs", f"SELECT key, op, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM rundata WHERE run_id IN (SELECT run_id FROM ({_victim}) UNION SELECT b.run_id FROM runs b, ({_victim}) s WHERE b.level = 2 AND b.min_key <= s.max_key AND s.min_key <= b.max_key)) WHERE rn = 1")
+def _(spark, d):
+    runs = _runs(spark, d)
+    inputs = compaction.level_inputs(runs, compaction.victim(runs, 1), 1)
+    return compaction.merge_runs(_rundata(spark, d).join(inputs, "run_id", "left_semi")).select("key", "op", "seq")
+
+
+@query("split_outputs")
+def _(spark, d):
+    sized = _rundata(spark, d).select("run_id", "key", (F.length("key") + F.octet_length("value")).cast("long").alias("size"))
+    g = folds.greedy_groups(sized, ["run_id"], "key", "size", SPLIT_LIMIT, "part")
+    return g.groupBy("run_id", "part").agg(F.count("*").alias("n"), F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.sum("size").alias("bytes"))
+
+
+_recursive("split_outputs", "rundata", _fold_sql("rundata", "run_id", "key", "length(key) + strlen(value)", SPLIT_LIMIT, "part", "count(*) AS n, min(o) AS min_key, max(o) AS max_key, CAST(sum(s) AS BIGINT) AS bytes"))
+
+
+# --- whole reads and measures ---
+
+
+@query("engine_get", "latest", "SELECT key, value FROM latest WHERE op = 1 AND key IN ('user_000003', 'user_000005', 'user_999999')")
+def _(spark, d):
+    wanted = F.col("key").isin("user_000003", "user_000005", "user_999999")
+    return resolve.visible(resolve.latest_wins(_rundata(spark, d).where(wanted))).select("key", "value")
+
+
+@query("multi_get", "latest probes", "SELECT l.key AS key, l.value AS value FROM latest l WHERE l.op = 1 AND l.key IN (SELECT key FROM probes)")
+def _(spark, d):
+    """Only versions of the wanted keys are resolved."""
+    return resolve.visible(resolve.latest_wins(_rundata(spark, d).join(_probes(spark, d), "key", "left_semi"))).select("key", "value")
+
+
+@query("snapshot_read", "log", "SELECT key, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log WHERE seq <= 500) WHERE rn = 1 AND op = 1")
+def _(spark, d):
+    return resolve.snapshot(_log(spark, d), 500).select("key", "value", "seq")
+
+
+@query("space_amplification", "rundata latest", "SELECT round((SELECT sum(strlen(key) + strlen(value)) FROM rundata)::DOUBLE / (SELECT sum(strlen(key) + strlen(value)) FROM latest WHERE op = 1), 9) AS stored_over_live")
+def _(spark, d):
+    size = F.sum((F.octet_length("key") + F.octet_length("value")).cast("long"))
+    stored, live = _rundata(spark, d).agg(size.alias("stored")), resolve.visible(_latest(spark, d)).agg(size.alias("live"))
+    return stored.join(F.broadcast(live)).select(F.round(F.col("stored") / F.col("live"), 9).alias("stored_over_live"))  # one row each
+
+
+@query("read_amplification", "runs probes", "SELECT p.key AS key, count(r.run_id) AS runs_touched FROM probes p LEFT JOIN runs r ON r.min_key <= p.key AND p.key <= r.max_key GROUP BY p.key")
+def _(spark, d):
+    return _probes(spark, d).join(_runs(spark, d), F.expr("min_key <= key and key <= max_key"), "left").groupBy("key").agg(F.count("run_id").alias("runs_touched"))
+
+
+@query("write_amplification", "rundata log", "SELECT round(((SELECT sum(strlen(key) + strlen(value)) FROM log) + 2 * (SELECT sum(strlen(key) + strlen(value)) FROM rundata))::DOUBLE / (SELECT sum(strlen(key) + strlen(value)) FROM log), 9) AS written_over_user")
+def _(spark, d):
+    """The log, the runs, and one merge of all runs, over what users wrote."""
+    size = F.sum((F.octet_length("key") + F.octet_length("value")).cast("long"))
+    user, stored = _log(spark, d).agg(size.alias("u")), _rundata(spark, d).agg(size.alias("s"))
+    return user.join(F.broadcast(stored)).select(F.round((F.col("u") + 2 * F.col("s")) / F.col("u"), 9).alias("written_over_user"))  # one row each
+
+
+def entry(spark: SparkSession) -> DataFrame:
+    return current_state(spark, "/root/testdata/sf0.001")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
