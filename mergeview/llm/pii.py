@@ -4,7 +4,7 @@ Every valid match is replaced by a keyed permutation of itself within its format
 get equal pseudonyms in all documents and the text keeps its shape:
 
 * payment cards of 13-19 digits with a right Luhn sum: issuer digit and grouping stay, the check digit is right again;
-* phone numbers: country code and grouping stay, area and exchange codes begin with 2-9;
+* phone numbers: country code and grouping stay, area and exchange codes that begin with 2-9 still do;
 * US social security numbers, IPv4 addresses (each number up to 255) and dates of 1700-2099
   (1999-12-31, 31.12.1999, 12/31/1999 and 31/12/1999 where that is the only reading);
 * e-mail addresses: the part before the @ keeps its pattern of letters and digits;
@@ -31,7 +31,7 @@ PATTERNS = {
     "password": r"(?<=password[=:])[^\s\"'<>]{4,}+",
     "access": _start + r"AKIA[0-9A-Z]{16}" + _end,
     "hex": _start + r"[0-9a-f]{32,128}+" + _end,
-    "phone": r"(?<![0-9A-Za-z.\-])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.\- ])[2-9][0-9]{2}[.\- ][0-9]{4}(?![0-9A-Za-z]|[.\-][0-9])",
+    "phone": r"(?<![0-9A-Za-z.\-])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{3}\) ?|[0-9]{3}[.\- ])|\([0-9]{3}\) ?|[2-9][0-9]{2}[.\- ](?=[2-9]))[0-9]{3}[.\- ][0-9]{4}(?![0-9A-Za-z]|[.\-][0-9])",
     "card": _start + r"(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}(?: [0-9]{1,3})?|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})" + _end,
     "ssn": r"(?<![0-9A-Za-z]|[0-9]\-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "date": r"(?<![0-9A-Za-z]|[0-9][.\-/])(?:(?:1[789]|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:1[789]|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:1[789]|20)[0-9]{2})(?![0-9A-Za-z]|[.\-/][0-9])",
@@ -55,7 +55,7 @@ def _digest(key: str, kind: Column, i: Column, other: Column) -> Column:
 def _added(text: Column, digest: Column, kind: Column, left: bool) -> Column:
     """Add the digest's bytes to the characters of a half, each within its alphabet: hexadecimal digits or
     capitals and digits where the kind says so, else 0-9, a-z or A-Z; others stay.  The first digits of a
-    phone number's area and exchange codes, both in the left half, are 2-9."""
+    phone number's area and exchange codes, both in the left half, stay in 2-9 or in 0-1."""
 
     def in_alphabet(c: Column, b: Column, alphabet: str) -> Column:
         return F.substr(F.lit(alphabet), F.pmod(F.instr(F.lit(alphabet), c) - 1 + b, F.lit(len(alphabet))) + 1, F.lit(1))
@@ -67,7 +67,7 @@ def _added(text: Column, digest: Column, kind: Column, left: bool) -> Column:
         plain = F.when(first.isNull(), c).otherwise(F.char(first + F.pmod(code - first + b, F.when(first == 48, 10).otherwise(26))))
         out = F.when(kind == "hex", in_alphabet(c, b, HEX)).when(kind == "access", in_alphabet(c, b, UPPER))
         if left:
-            out = out.when((kind == "phone") & j.isin(1, 4), F.char(50 + F.pmod(code - 50 + b, F.lit(8))))
+            out = out.when((kind == "phone") & j.isin(1, 4), F.when(code < 50, F.char(48 + F.pmod(code - 48 + b, F.lit(2)))).otherwise(F.char(50 + F.pmod(code - 50 + b, F.lit(8)))))
         return out.otherwise(plain)
 
     return F.when(F.length(text) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), shifted), "")).otherwise(F.lit(""))
@@ -129,7 +129,7 @@ def kind_of(m: Column) -> Column:
     shape = F.when(m.contains("@"), "email").when(m.rlike("^AKIA[0-9A-Z]{16}$"), "access").when(m.rlike("^[0-9a-f]{32,128}$"), "hex")
     shape = shape.when(m.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), "ip").when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
     shape = shape.when(m.rlike(r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1[0-9]{4})$"), "date")
-    shape = shape.when(m.rlike(r"^(?:\+[0-9]{1,3}[ .\-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.\- ])[2-9][0-9]{2}[.\- ][0-9]{4}$"), "phone")
+    shape = shape.when(m.rlike(r"^(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.\- ])[0-9]{3}[.\- ][0-9]{4}$"), "phone")
     return shape.when(m.rlike(r"^[0-9](?:[ \-]?[0-9]){12,18}$"), "card").otherwise("password")
 
 
