@@ -78,4 +78,19 @@ QUERIES = {
     "op10_pfair_mix": op10_pfair_mix,
 }
 
-ORACLES: dict[str, str] = {}
+_at = "instr(url, '://')"
+_labels = " OR ".join(f"'.' || host || '.' LIKE '%.{x}.%'" for x in LISTED_LABELS)
+_by_length = sorted(URL_RULES, key=lambda r: (-len(r[1] + r[2]), r))
+_fits = lambda h, p: f"(host = '{h}' OR host LIKE '%.{h}') AND path LIKE '{p}%'"
+
+ORACLES: dict[str, str] = {
+    "op6_url_filter": f"""
+        WITH rest AS (SELECT page_id, CASE WHEN {_at} > 0 THEN substr(url, {_at} + 3) ELSE '' END AS r FROM pages),
+        cut AS (SELECT page_id, regexp_extract(r, '^[^/?#]*', 0) AS h, substr(r, length(regexp_extract(r, '^[^/?#]*', 0)) + 1) AS tail FROM rest),
+        parts AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(tail, '^[^?#]*', 0) AS path, regexp_extract(tail, '^[^?#]*[?]([^#]*)', 1) AS q FROM cut),
+        asked AS (SELECT page_id, host, path, list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref)(=|$)'))) AS kept FROM parts),
+        named AS (SELECT page_id, host, path, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)[.]', '') || regexp_replace(path, '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS canonical FROM asked),
+        judged AS (SELECT page_id, host, path, coalesce(canonical IN (SELECT canonical FROM named WHERE canonical IS NOT NULL AND ({_labels})), false) AS listed FROM named)
+        SELECT page_id, host, path, CASE {" ".join(f"WHEN {_fits(h, p)} THEN '{h + p}'" for _, h, p in _by_length)} END AS rule,
+        CASE {" ".join(f"WHEN {_fits(h, p)} THEN '{v}'" for v, h, p in _by_length)} WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM judged""",
+}
