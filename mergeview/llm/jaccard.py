@@ -9,7 +9,8 @@ Exact up to collisions of 64-bit hashes, in these steps:
 3. Every set of n shingles is indexed under the first n - ceil(4n/5) + 1 of its shingles: two sets with
    a link share one of them.
 4. Set relations: sets that agree in a pair of minimum hashes are compared with one of them, the
-   centre; found links make components.  In an index list a block of one component's sets is skipped as
+   centre: that with the fewest shingles outside the frequent ones, which copies with edits of their
+   own are nearest to.  Found links make components.  In an index list a block of one component's sets is skipped as
    a whole by each of its members, since what they link with is known to be connected; the answers of a
    set are so derived from those of the sets highly similar to it.  Sizes and positions in the list skip
    further entries.
@@ -86,7 +87,7 @@ def _first_pass(docs: DataFrame, bucket_bits: int) -> DataFrame:
     """kind 0: a row for each document.  kind 1: counts of shingles by bucket, packed."""
     import pyarrow as pa
 
-    names = ["kind", "doc_id", "n", "cls", "sigs", "bucket", "low", "high", "counts"]
+    names = ["kind", "doc_id", "n", "cls", "bucket", "low", "high", "counts"]
     low_bits = 48 - bucket_bits
 
     def packed(found: list[np.ndarray]):
@@ -94,7 +95,7 @@ def _first_pass(docs: DataFrame, bucket_bits: int) -> DataFrame:
         edges = np.searchsorted(keys >> np.uint64(low_bits), np.arange((1 << bucket_bits) + 1, dtype=np.uint64))
         rows = [(b, keys[x:y], counts[x:y]) for b, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
         none = pa.nulls(len(rows))
-        cols = [pa.array([1] * len(rows), pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.list_(pa.int64()))]
+        cols = [pa.array([1] * len(rows), pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int64())]
         cols += [pa.array([b for b, _, _ in rows], pa.int32()), pa.array([(k & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for _, k, _ in rows])]
         cols += [pa.array([((k >> np.uint64(32)) & np.uint64((1 << (low_bits - 32)) - 1)).astype(np.uint8 if low_bits <= 40 else np.uint16).tobytes() for _, k, _ in rows]), pa.array([c.astype(np.uint32).tobytes() if (c > 1).any() else b"" for _, _, c in rows])]
         return pa.RecordBatch.from_arrays(cols, names)
@@ -102,24 +103,23 @@ def _first_pass(docs: DataFrame, bucket_bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size, seen = [], 0, set()
         for ids, sets in _sets(batches):
-            n, cls, sigs = [], [], []
+            n, cls = [], []
             for s in sets:
                 n.append(len(s))
                 cls.append(class_of(s) if len(s) else None)
-                sigs.append(signatures(s) if len(s) else None)
                 if len(s) and cls[-1] not in seen:
                     seen.add(cls[-1])
                     found.append(s[: np.searchsorted(s, np.uint64(COUNTED))] >> np.uint64(15))
                     size += len(found[-1])
             none = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), none.cast(pa.int32()), *(none.cast(pa.binary()) for _ in range(3))], names)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), none.cast(pa.int32()), *(none.cast(pa.binary()) for _ in range(3))], names)
             if size >= FLUSH:
                 yield packed(found)
                 found, size, seen = [], 0, set()
         if size:
             yield packed(found)
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, cls long, sigs array<long>, bucket int, low binary, high binary, counts binary")
+    return docs.mapInArrow(run, "kind int, doc_id long, n long, cls long, bucket int, low binary, high binary, counts binary")
 
 
 def _hot(counts: DataFrame, bucket_bits: int, saved: Saved) -> np.ndarray:
@@ -156,13 +156,14 @@ def _hot(counts: DataFrame, bucket_bits: int, saved: Saved) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, hot) -> DataFrame:
-    """A row for each class and task that met it: its first shingles in the global order, and its histogram."""
+    """A row for each class and task that met it: its first shingles in the global order, how many of all are
+    not among the frequent ones, its minimum hashes and its histogram."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, seen = hot.value, set()
         for _, sets in _sets(batches):
-            cls, n, prefix, counts = [], [], [], []
+            cls, n, cold, sigs, prefix, counts = [], [], [], [], [], []
             for s in sets:
                 if not len(s) or (c := class_of(s)) in seen:
                     continue
@@ -173,15 +174,18 @@ def _prefixes(docs: DataFrame, hot) -> DataFrame:
                     at = np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)
                     often = frequent[at] == keys
                     s_in_order = np.concatenate([s[~often], s[often]])
+                    cold.append(int((~often).sum()))
                 else:
                     s_in_order = s
+                    cold.append(len(s))
                 cls.append(c)
                 n.append(len(s))
+                sigs.append(signatures(s))
                 prefix.append(s_in_order[: prefix_length(len(s))].tobytes())
                 counts.append(histogram(s))
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(prefix, pa.binary()), pa.array(counts, pa.binary())], ["cls", "n", "prefix", "histogram"])
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(cold, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(prefix, pa.binary()), pa.array(counts, pa.binary())], ["cls", "n", "cold", "sigs", "prefix", "histogram"])
 
-    return docs.mapInArrow(run, "cls long, n long, prefix binary, histogram binary")
+    return docs.mapInArrow(run, "cls long, n long, cold long, sigs array<long>, prefix binary, histogram binary")
 
 
 ENTRY = np.dtype([("shingle", "<u8"), ("cls", "<i8"), ("component", "<i8"), ("n", "<u4"), ("at", "<u4")])
@@ -326,13 +330,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     bucket_bits = min(16, max(8, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
 
     first = saved.keep(_first_pass(docs, bucket_bits), by=["kind"])
-    rows = saved.keep(first.where("kind = 0").select("doc_id", "n", "cls", "sigs"))
+    rows = saved.keep(first.where("kind = 0").select("doc_id", "n", "cls"))
     hot = spark.sparkContext.broadcast(_hot(first.where("kind = 1"), bucket_bits, saved))
     saved.drop(first)
-    prefixes = saved.keep(_prefixes(docs, hot).groupBy("cls").agg(F.first(F.struct("n", "prefix", "histogram")).alias("x")).select("cls", "x.*"))
+    prefixes = saved.keep(_prefixes(docs, hot).groupBy("cls").agg(F.first(F.struct("n", "cold", "sigs", "prefix", "histogram")).alias("x")).select("cls", "x.*"))
 
-    signed = saved.keep(rows.where("n > 0").groupBy("cls").agg(F.first("sigs").alias("sigs")).select("cls", F.posexplode("sigs").alias("k", "sig")))
-    centres = saved.keep(signed.groupBy("k", "sig").agg(F.min("cls").alias("centre"), F.count("*").alias("size")).where("size > 1").select("k", "sig", "centre"))
+    signed = saved.keep(prefixes.select("cls", "cold", F.posexplode("sigs").alias("k", "sig")))
+    centres = saved.keep(signed.groupBy("k", "sig").agg(F.min(F.struct("cold", "cls")).alias("centre"), F.count("*").alias("size")).where("size > 1").select("k", "sig", F.col("centre.cls").alias("centre")))
     stars = signed.join(centres, ["k", "sig"]).where("cls != centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
     near = _links(_possible(saved.keep(stars), prefixes, saved), docs, saved)
     known = saved.keep(components(near, saved))
@@ -349,3 +353,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     linked = rows.where("n > 0").select("doc_id", "n", "cls").join(named, "cls").select("doc_id", F.col("n").alias("n_shingles"), "cls", "component_id")
     alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), "cls", F.col("doc_id").alias("component_id"))
     return linked.union(alone), links
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stand for their component: those with its smallest id, once each.
+
+    Documents with an empty set stay.  Rows without an id can't be told apart and stay as well.
+    """
+    placed, _ = join(docs, id_col, text_col)
+    ids = placed.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    own = docs.where(F.col(f"`{id_col}`").isNotNull()).join(Saved(docs.sparkSession).keep(ids), id_col, "left_semi")
+    return own.dropDuplicates([id_col]).select(*(own[c] for c in docs.columns)).union(docs.where(F.col(f"`{id_col}`").isNull()))
