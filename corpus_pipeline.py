@@ -1,8 +1,8 @@
 """From raw documents to tokenised training data: quality, near-duplicates, PII, mixture, tokens.
 
-Each stage reads what the one before has written.  All but the last return the columns of documents:
-the mixture's decision is the order of the rows, in which the last stage's `shard` (number of the file
-that a document was read from) ascends.
+Each stage reads what the one before has written.  All but the last return the columns of documents.
+The mixture keeps every document; its decision is the order of the rows in the files it writes, whose
+names ascend, so that any prefix of them holds the sources in proportion.
 """
 
 from __future__ import annotations
@@ -35,8 +35,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
-    shard = F.regexp_extract(F.input_file_name(), r"part-([0-9]+)", 1).try_cast("int")
-    return bpe.encode_documents(docs.withColumn("shard", shard), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("source", "shard"))
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("source",))
 
 
 STAGES = [
