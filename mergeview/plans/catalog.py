@@ -502,7 +502,7 @@ def _(spark, d):
     return manifest.level_stats(_runs(spark, d)).select(F.format_string("L%d: %d runs, %d bytes", "level", "n_runs", "total_size").alias("line"))
 
 
-@query("manifest_json")
+@query("manifest_json", "runs", "SELECT run_id, CAST(to_json({'run_id': run_id, 'level': level, 'num_entries': num_entries, 'min_key': min_key, 'max_key': max_key, 'file_size': file_size}) AS VARCHAR) AS json FROM runs")
 def _(spark, d):
     return _runs(spark, d).select("run_id", F.to_json(F.struct("run_id", "level", "num_entries", "min_key", "max_key", "file_size")).alias("json"))
 
