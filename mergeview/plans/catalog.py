@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mergeview.functions import hashing
 from mergeview.functions.hashing import hash_probes, murmur3_32
 from mergeview.functions.text import entry_size
 from mergeview.operators import blocks, bloom, compaction, folds, manifest, resolve
@@ -402,14 +403,52 @@ def _(spark, d):
     return QUERIES["bloom_stats"](spark, d).select("run_id", F.round(bloom.theoretical_rate(F.col("n"), F.col("m"), F.lit(7.0)), 12).alias("rate"))
 
 
+def _murmur_sql(source: str) -> str:
+    """Tables that end in hashed(key, a, b): MurmurHash3 of source's keys with seeds 0 and 42."""
+    mul = lambda x, c: f"CAST((CAST({x} AS HUGEINT) * {c}) % 4294967296 AS BIGINT)"
+    rotl = lambda x, r: f"((({x}) << {r}) % 4294967296 | (({x}) >> {32 - r}))"
+    each = lambda name, of, f: f"{name} AS (SELECT key, n, list_transform(w, lambda k: {f}) AS w FROM {of}), "
+    body = lambda seed: f"list_reduce(list_prepend({seed}::BIGINT, w[1:n // 4]), lambda h, k: (({rotl('xor(h, k)', 13)}) * 5 + {hashing.N}) % 4294967296)"
+    both = lambda f: ", ".join(f"{f(x)} AS {x}" for x in "ab")
+    mixed = lambda name, of, f: f"{name} AS (SELECT key, {both(f)} FROM {of}), "
+    return (
+        f"kb AS (SELECT key, strlen(key) AS n, list_transform(range(0, strlen(key)), lambda i: ('0x' || substr(hex(encode(key)), CAST(2 * i + 1 AS BIGINT), 2))::BIGINT) AS b FROM (SELECT DISTINCT key FROM {source})), "
+        "kw AS (SELECT key, n, list_append(list_transform(range(0, n // 4), lambda i: b[4 * i + 1] + b[4 * i + 2] * 256 + b[4 * i + 3] * 65536 + b[4 * i + 4] * 16777216), "
+        "CAST(coalesce(b[n - n % 4 + 1], 0) + coalesce(b[n - n % 4 + 2], 0) * 256 + coalesce(b[n - n % 4 + 3], 0) * 65536 AS BIGINT)) AS w FROM kb), "
+        + each("k1", "kw", mul("k", hashing.C1)) + each("k2", "k1", rotl("k", 15)) + each("k3", "k2", mul("k", hashing.C2))
+        + f"h0 AS (SELECT key, xor(xor({body(0)}, w[n // 4 + 1]), n) AS a, xor(xor({body(42)}, w[n // 4 + 1]), n) AS b FROM k3), "
+        + mixed("h1", "h0", lambda x: f"xor({x}, {x} >> 16)") + mixed("h2", "h1", lambda x: mul(x, hashing.F1)) + mixed("h3", "h2", lambda x: f"xor({x}, {x} >> 13)") + mixed("h4", "h3", lambda x: mul(x, hashing.F2))
+        + f"hashed AS (SELECT key, {both(lambda x: f'xor({x}, {x} >> 16)')} FROM h4) "
+    )
+
+
+def _hashed(ctes: str, source: str) -> str:
+    return f"{_with(ctes.split()).rstrip()}, " + _murmur_sql(source)
+
+
+_probe_list = lambda k, m: f"list_transform(range(0, {k}), lambda i: (a + i * b) % {m})"
+
+
 @query("murmur3")
 def _(spark, d):
     return _latest(spark, d).select("key", murmur3_32(F.col("key")).alias("h0"), murmur3_32(F.col("key"), 42).alias("h42"))
 
 
+ORACLES["murmur3"] = _hashed("latest", "latest") + "SELECT key, a AS h0, b AS h42 FROM hashed"
+
+
 @query("hash_probes")
 def _(spark, d):
-    return _latest(spark, d).select("key", hash_probes(F.col("key"), 7, 128).alias("probes"))
+    return _latest(spark, d).select("key", F.array_join(hash_probes(F.col("key"), 7, 128).cast("array<string>"), ",").alias("probes"))
+
+
+ORACLES["hash_probes"] = _hashed("latest", "latest") + f"SELECT key, array_to_string({_probe_list(7, 128)}, ',') AS probes FROM hashed"
+ORACLES["bloom_build"] = _hashed("rundata", "rundata") + f"SELECT DISTINCT run_id, unnest({_probe_list(7, 2048)}) AS bit FROM rundata JOIN hashed USING (key)"
+ORACLES["bloom_empirical_fpr"] = (
+    "WITH words AS (SELECT printf('member_%d', i) AS key FROM range(0, 2000) t(i) UNION ALL SELECT printf('nonmember_%d', i) FROM range(0, 2000) t(i)), " + _murmur_sql("words")
+    + f", bits AS (SELECT DISTINCT unnest({_probe_list(7, 20000)}) AS bit FROM hashed WHERE key LIKE 'member%'), asked AS (SELECT key, unnest({_probe_list(7, 20000)}) AS bit FROM hashed WHERE key LIKE 'nonmember%'), "
+    "hits AS (SELECT key, bool_and(bit IN (SELECT bit FROM bits)) AS maybe FROM asked GROUP BY key) SELECT count(*) AS trials, CAST(sum(CASE WHEN maybe THEN 1 ELSE 0 END) AS BIGINT) AS false_positives FROM hits"
+)
 
 
 @query("bloom_build")
