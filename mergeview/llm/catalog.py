@@ -84,6 +84,15 @@ _by_length = sorted(URL_RULES, key=lambda r: (-len(r[1] + r[2]), r))
 _fits = lambda h, p: f"(host = '{h}' OR host LIKE '%.{h}') AND path LIKE '{p}%'"
 
 ORACLES: dict[str, str] = {
+    "op4_ngram_jaccard": """
+        WITH RECURSIVE cut AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM cut),
+        each AS (SELECT doc_id, unnest(s) AS x FROM sets),
+        met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM each a JOIN each b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+        links AS (SELECT a, b FROM met JOIN sets p ON p.doc_id = a JOIN sets q ON q.doc_id = b WHERE 100 * c >= 80 * (len(p.s) + len(q.s) - c)),
+        ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN ways l ON l.a = r.b)
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON m.a = s.doc_id""",
     "op6_url_filter": f"""
         WITH rest AS (SELECT page_id, CASE WHEN {_at} > 0 THEN substr(url, {_at} + 3) ELSE '' END AS r FROM pages),
         cut AS (SELECT page_id, regexp_extract(r, '^[^/?#]*', 0) AS h, substr(r, length(regexp_extract(r, '^[^/?#]*', 0)) + 1) AS tail FROM rest),
