@@ -37,8 +37,8 @@ from mergeview.llm.words import chunks, mix
 SIZE = 5  # words of a shingle
 HOT_SHINGLES = 1 << 20  # at most so many are sent to the executors, 8 bytes each
 HOT_FROM = 64  # sets that hold a shingle before it may count as frequent
-COUNTED = 1 << 63  # shingles with a smaller hash are counted: the half from which prefixes are drawn
-FLUSH = 2_000_000  # shingles or index entries that a task gathers before it hands them on
+KEY_SHIFT = np.uint64(16)  # counts are by the upper 48 bits of a hash; a collision there only changes the order
+FLUSH = 1_000_000  # shingles or index entries that a task gathers before it hands them on
 PAIRS_AT_ONCE = 2_000_000
 FILTER_MAX = 1 << 23  # ids up to which a Bloom filter of them is sent along to spare shuffled sets
 SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, (4, 2), dtype=np.uint64)
@@ -109,7 +109,7 @@ def _first_pass(docs: DataFrame, bucket_bits: int) -> DataFrame:
                 cls.append(class_of(s) if len(s) else None)
                 if len(s) and cls[-1] not in seen:
                     seen.add(cls[-1])
-                    found.append(s[: np.searchsorted(s, np.uint64(COUNTED))] >> np.uint64(15))
+                    found.append(s >> KEY_SHIFT)
                     size += len(found[-1])
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), none.cast(pa.int32()), *(none.cast(pa.binary()) for _ in range(3))], names)
@@ -170,7 +170,7 @@ def _prefixes(docs: DataFrame, hot) -> DataFrame:
                 if len(seen) < 1_000_000:
                     seen.add(c)
                 if len(frequent):
-                    keys = s >> np.uint64(15)
+                    keys = s >> KEY_SHIFT
                     at = np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)
                     often = frequent[at] == keys
                     s_in_order = np.concatenate([s[~often], s[often]])
@@ -215,7 +215,7 @@ def _candidates(prefixes: DataFrame, bucket_bits: int) -> DataFrame:
                 rows["shingle"], rows["cls"], rows["component"], rows["n"], rows["at"] = shingles, c, comp, n, np.arange(len(shingles))
                 held.append(rows)
                 size += len(rows)
-                if size >= FLUSH // 4:
+                if size >= FLUSH // 2:
                     yield out()
                     held, size = [], 0
         if held:
