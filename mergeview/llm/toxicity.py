@@ -172,16 +172,16 @@ def evidence(text: str, table: np.ndarray) -> tuple[float, ...]:
 
 
 def _features(rows: DataFrame, sent, extra: str) -> DataFrame:
-    """rows: one column of `extra`, then text."""
+    """rows: the columns of `extra`, then text."""
     import pyarrow as pa
 
-    names = [extra.split()[0], *(f"f{i}" for i in range(FEATURES))]
+    names = [*(x.split()[0] for x in extra.split(", ")), *(f"f{i}" for i in range(FEATURES))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(sent)
         for batch in batches:
-            got = [evidence(x, table) for _, x in _texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[i] for g in got], pa.float64()) for i in range(FEATURES))], names)
+            got = [evidence(x, table) for _, x in _texts(batch.columns[-1])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([g[i] for g in got], pa.float64()) for i in range(FEATURES))], names)
 
     return rows.mapInArrow(run, f"{extra}, " + ", ".join(f"f{i} double" for i in range(FEATURES)))
 
@@ -221,8 +221,8 @@ def score(docs: DataFrame, labels: DataFrame, held_out_fold: int = 2, fit_fold:
 
     some, rest = (saved.keep(gram_counts(x)) for x in (counting, fitting))
 
-    chosen = fitting.select("toxic", "text", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(FIT_ROWS).select("toxic", "text")
-    known = np.array(_features(chosen, sent(some), "toxic int").collect(), float).reshape(-1, 1 + FEATURES)
+    measured = _features(fitting.select(F.xxhash64("doc_id").alias("h"), "toxic", "text"), sent(some), "h long, toxic int")
+    known = np.array(measured.orderBy("h").limit(FIT_ROWS).drop("h").collect(), float).reshape(-1, 1 + FEATURES)
     y = known[:, 0]
     if 0 < y.sum() < len(y):
         intercept, weights = fit_logistic(known[:, 1:], y)
