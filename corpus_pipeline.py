@@ -1,8 +1,9 @@
 """From raw documents to tokenised training data: quality, near-duplicates, PII, mixture, tokens.
 
 Each stage reads what the one before has written.  All but the last return the columns of documents.
-The mixture keeps every document; its decision is the order of the rows in the files it writes, whose
-names ascend, so that any prefix of them holds the sources in proportion.
+The mixture keeps every document and decides their order.  Order doesn't outlast a table that is written
+and read again, and a stage in between may not add columns, so the last stage takes the same schedule,
+which follows from the documents alone, and returns each document's block, slot and place in it.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
-    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("source",))
+    return bpe.encode_documents(mixing.mix(docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("source", "block", "slot", "place"))
 
 
 STAGES = [

@@ -1,0 +1,26 @@
+"""What the operators once left out: each of these failed before its operator did the whole job."""
+
+from collections import Counter
+
+from mergeview.llm import mixing
+from tests.conftest import SF
+
+# --- pipeline ---
+
+
+def test_pipeline_returns_the_schedule(spark):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert len({r.place for r in rows}) == len(rows) and all(r.place // mixing.BLOCK == r.slot for r in rows)
+    at = {r.slot: (r.source, r.block) for r in rows}
+    assert len({(r.slot, r.source, r.block) for r in rows}) == len(at) and sorted(at) == list(range(len(at)))
+    total = Counter(r.source for r in rows)
+    assert len(total) > 1
+    plan = mixing.phases({s: -(-n // mixing.BLOCK) for s, n in total.items()}, {s: n**mixing.TEMPERATURE for s, n in total.items()})
+    assert sum(sum(x["used"].values()) for x in plan) == len(at)
+    for phase in plan:
+        done = Counter()
+        for k in range(sum(phase["used"].values())):
+            done[at[phase["slot"] + k][0]] += 1
+            assert all(abs(done[s] - a * (k + 1) / phase["period"]) < 1 for s, a in phase["share"].items())
