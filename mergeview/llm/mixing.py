@@ -5,9 +5,10 @@ its release floor(k / w) and has to take one before its deadline ceil((k + 1) /
 first then fills every slot, and in each prefix of the schedule a source has less than one block more
 or less than its weight times the prefix's length.
 
-Weights are whole shares of PERIOD slots, so the schedule of one period of at most PERIOD slots gives
-all others: the slot of block k follows from k and the period's table, and placing documents is a join
-with that table, not a simulation of the whole corpus.
+Weights are exact: whole numbers in the very proportion of the given ones, however large, never rounded
+to a period.  The driver steps through the blocks, a number of each source in memory, and notes what each
+source has been served before each window of WINDOW slots; tasks fill the windows side by side from
+there.  Placing documents is a join with the table of blocks and slots.
 
 Every document gets one place, so a source ends once its blocks are used up.  The schedule then goes on,
 in a further phase, among the sources that are left, with their weights in proportion.  Sources are the
@@ -18,23 +19,30 @@ have places of their own; null ids and texts are kept.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import itertools
+import math
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mergeview.llm.tables import Saved
+from mergeview.llm.tables import Saved, importable
 
 BLOCK = 16  # documents of a block
-PERIOD = 2_000  # slots of a period
+PERIOD = 2_000  # slots of a period of rounded shares
+WINDOW = 4_096  # slots that a task fills from a noted state, at least
 CHUNK = 4_096  # documents that are numbered together, about
-SLOTS_SENT = 1 << 18  # rows of the plan up to which it is sent to the executors; a longer one is joined by shuffle
+SLOTS_SENT = 1 << 18  # blocks up to which their table is sent to the executors; a longer one is joined by shuffle
 NO_SOURCE = "null"
 TEMPERATURE = 0.7  # of the default weights: a source's number of documents to this power
 
 
 def shares(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole shares of the period, at least one each, in proportion to the weights (largest remainders)."""
+    """Whole shares of a short period, at least one each, nearly in proportion to the weights (largest remainders).
+
+    For a table of one period that is to be repeated; mix() takes exact_shares().
+    """
     names = sorted(weights)
     period = max(period, 2 * len(names))
     total = sum(weights[s] for s in names)
@@ -47,58 +55,92 @@ def shares(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]
     return out
 
 
-def period_slots(share: Mapping[str, int]) -> list[tuple[str, int]]:
-    """(source, number of its block) for each slot of a period, by earliest deadline first among released blocks."""
+def exact_shares(weights: Mapping[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of the weights."""
+    if not weights or min(weights.values()) <= 0:
+        raise ValueError("weights must be positive")
+    parts = {s: Fraction(weights[s]) for s in sorted(weights)}
+    scale = math.lcm(*(x.denominator for x in parts.values()))
+    whole = {s: int(x * scale) for s, x in parts.items()}
+    common = math.gcd(*whole.values())
+    return {s: a // common for s, a in whole.items()}
+
+
+def edf(share: Mapping[str, int], start: int = 0, before: Mapping[str, int] | None = None) -> Iterator[tuple[str, int]]:
+    """(source, number of its block) for each slot from start, by earliest deadline first among released blocks.
+
+    before: blocks of each source in the slots before start.
+    """
     period = sum(share.values())
     name = sorted(share)
     release = lambda i, k: k * period // share[name[i]]
     deadline = lambda i, k: -(-(k + 1) * period // share[name[i]])
-    waiting = [(release(i, 0), i, 0) for i in range(len(name))]
+    waiting = [(max(start, release(i, k)), i, k) for i, k in enumerate(before[s] if before else 0 for s in name)]
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []
-    out = []
-    for slot in range(period):
+    for slot in itertools.count(start):
         while waiting and waiting[0][0] <= slot:
             _, i, k = heapq.heappop(waiting)
             heapq.heappush(ready, (deadline(i, k), i, k))
         due, i, k = heapq.heappop(ready)
         assert due > slot, "a deadline is missed only if the shares exceed the period"
-        out.append((name[i], k))
-        if k + 1 < share[name[i]]:
-            heapq.heappush(waiting, (max(slot + 1, release(i, k + 1)), i, k + 1))
-    return out
+        yield name[i], k
+        heapq.heappush(waiting, (max(slot + 1, release(i, k + 1)), i, k + 1))
+
 
+def period_slots(share: Mapping[str, int]) -> list[tuple[str, int]]:
+    """The slots of a whole period, after which every source has exactly its share."""
+    return list(itertools.islice(edf(share), sum(share.values())))
+
+
+def phases(blocks: Mapping[str, int], weights: Mapping[str, float], window: int = WINDOW) -> list[dict]:
+    """For each phase: first slot, slots, slots of a window, exact shares and their sum (period), and per source
+    first block, blocks (used) and those before each window (served).
 
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int = PERIOD) -> list[dict]:
-    """For each phase: first slot, and per source its share, first block and end.  A phase ends when a source's blocks do."""
+    A phase ends when a source's blocks do.  Sources of weight zero wait for all others and then are equals.
+    """
+    if blocks and (min(weights[s] for s in blocks) < 0 or sum(weights[s] for s in blocks) <= 0):
+        raise ValueError("weights must be positive")
+    exact = exact_shares({s: weights[s] for s in blocks if weights[s] > 0}) if blocks else {}
     left, done, slot, out = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0, []
     while left:
-        share = shares({s: weights[s] for s in left}, period)
-        table = period_slots(share)
-        size = len(table)
-        at = {s: [] for s in share}
-        for i, (s, _) in enumerate(table):
-            at[s].append(i)
-        slot_of = lambda s, k: k // share[s] * size + at[s][k % share[s]]
-        end = min(slot_of(s, n - 1) for s, n in left.items()) + 1  # slots of the phase
-        used = {s: end // size * share[s] + sum(i < end % size for i in at[s]) for s in left}
-        out.append({"slot": slot, "period": size, "table": table, "share": share, "first": {s: done[s] for s in left}, "used": used})
-        for s in list(left):
+        share = {s: exact[s] for s in left if s in exact} or dict.fromkeys(left, 1)
+        width = max(window, 16 * len(share))
+        used, served = dict.fromkeys(share, 0), []
+        for end, (s, _) in enumerate(edf(share)):
+            if end % width == 0:
+                served.append(dict(used))
+            used[s] += 1
+            if used[s] == left[s]:
+                break
+        out.append({"slot": slot, "slots": end + 1, "window": width, "period": sum(share.values()), "share": share, "first": {s: done[s] for s in share}, "used": used, "served": served})
+        for s in share:
             done[s] += used[s]
             left[s] -= used[s]
             if not left[s]:
                 del left[s]
-        slot += end
+        slot += end + 1
     return out
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD, seed: int = 0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def block_slots(phase: dict, window: int) -> list[tuple[str, int, int]]:
+    """(source, block, slot) of a phase's window."""
+    start = window * phase["window"]
+    steps = itertools.islice(edf(phase["share"], start, phase["served"][window]), min(phase["window"], phase["slots"] - start))
+    return [(s, phase["first"][s] + k, phase["slot"] + start + i) for i, (s, k) in enumerate(steps)]
+
+
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK, period: int = WINDOW, seed: int = 0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """docs with block (number in its source), slot (of the block) and place (of the document in the mix).
 
     The order inside a source is by a hash of id and text.  weights: per source, for instance from
-    a training plan; without, the sources' numbers of documents to the power TEMPERATURE.
+    a training plan; without, the sources' numbers of documents to the power TEMPERATURE.  period: slots
+    of a window, which doesn't change the result.
     """
+    import pyarrow as pa
+
     spark = docs.sparkSession
+    importable(spark)
     saved = Saved(spark)
     source = F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit(NO_SOURCE))  # null is a source, too
     order = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
@@ -119,12 +161,18 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
         raise ValueError(f"no weight for sources {sorted(missing)}")
     plan = phases({s: -(-m // block) for s, m in totals.items()}, weights, period)
 
-    spans, slots_rows = [], []
-    for p, x in enumerate(plan):
-        spans += [(s, p, x["first"][s], x["first"][s] + x["used"][s], x["share"][s], x["period"], x["slot"]) for s in x["first"] if x["used"][s]]
-        slots_rows += [(s, p, k, i) for i, (s, k) in enumerate(x["table"]) if x["used"][s]]
-    spans = spark.createDataFrame(spans, "s string, phase int, first long, end long, share long, period long, slot0 long")
-    slots = spark.createDataFrame(slots_rows, "s string, phase int, k long, i long")
+    windows = spark.createDataFrame([(p, len(x["served"]) - 1) for p, x in enumerate(plan)], "phase int, last int")
+    windows = windows.select("phase", F.explode(F.sequence(F.lit(0), "last")).alias("window"))
+    parts = max(1, min(sum(len(x["served"]) for x in plan), 8 * spark.sparkContext.defaultParallelism))
+    sent = spark.sparkContext.broadcast(plan)  # a number for each source and window
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, i in zip(*(c.to_pylist() for c in batch.columns)):
+                s, b, slot = zip(*block_slots(sent.value[p], i))
+                yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(b, pa.int64()), pa.array(slot, pa.int64())], ["s", "b", "slot"])
+
+    slots = saved.keep(windows.repartition(parts).mapInArrow(deal, "s string, b long, slot long"))
 
     columns = docs.columns
     names = [f"_c{i}" for i in range(len(columns))]
@@ -134,10 +182,8 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     offsets = offsets.select("s", "c", "before")
     rows = rows.join(offsets, (F.col("_s") == F.col("s")) & (F.col("_c") == F.col("c"))).withColumn("_n", F.col("_n") + F.col("before")).drop("s", "c", "before")
     rows = rows.withColumn("_b", F.floor(F.col("_n") / block))
-    send = F.broadcast if len(slots_rows) <= SLOTS_SENT else (lambda df: df)
-    rows = rows.join(send(spans), (F.col("_s") == F.col("s")) & (F.col("_b") >= F.col("first")) & (F.col("_b") < F.col("end"))).drop("s")
-    rows = rows.withColumn("_k", (F.col("_b") - F.col("first")) % F.col("share")).withColumn("_q", F.floor((F.col("_b") - F.col("first")) / F.col("share")))
-    slots = slots.select(F.col("s").alias("s2"), F.col("phase").alias("phase2"), "k", "i")
-    rows = rows.join(send(slots), (F.col("_s") == F.col("s2")) & (F.col("phase") == F.col("phase2")) & (F.col("_k") == F.col("k")))
-    slot = F.col("slot0") + F.col("_q") * F.col("period") + F.col("i")
+    send = F.broadcast if sum(x["slots"] for x in plan) <= SLOTS_SENT else (lambda df: df)
+    slots = slots.select("s", "b", F.col("slot").alias("_slot"))
+    rows = rows.join(send(slots), (F.col("_s") == F.col("s")) & (F.col("_b") == F.col("b")))
+    slot = F.col("_slot")
     return rows.select(*(F.col(x).alias(c) for c, x in zip(columns, names) if c not in ("block", "slot", "place")), F.col("_b").alias("block"), slot.alias("slot"), (slot * block + F.col("_n") % block).alias("place"))

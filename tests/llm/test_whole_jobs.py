@@ -1,6 +1,11 @@
 """What the operators once left out: each of these failed before its operator did the whole job."""
 
+import random
 from collections import Counter
+from fractions import Fraction
+
+import pytest
+from pyspark.sql import functions as F
 
 from mergeview.llm import mixing
 from tests.conftest import SF
@@ -24,3 +29,62 @@ def test_pipeline_returns_the_schedule(spark):
         for k in range(sum(phase["used"].values())):
             done[at[phase["slot"] + k][0]] += 1
             assert all(abs(done[s] - a * (k + 1) / phase["period"]) < 1 for s, a in phase["share"].items())
+
+
+# --- mixing ---
+
+
+def deviations(order, weights):
+    """The most by which a source is ahead of or behind its exact weight, over all prefixes; sources that are not served at a slot are looked at when they are, and at the end."""
+    total = sum(map(Fraction, weights.values()))
+    exact = {s: Fraction(w) / total for s, w in weights.items()}
+    done, worst = Counter(), Fraction(0)
+    for slot, s in enumerate(order):
+        worst = max(worst, exact[s] * slot - done[s])  # before it is served
+        done[s] += 1
+        worst = max(worst, done[s] - exact[s] * (slot + 1))
+    return max(worst, *(abs(done[s] - w * len(order)) for s, w in exact.items()))
+
+
+def planned(blocks, weights, period):
+    plan = mixing.phases(blocks, weights, period)
+    got = [row for x in plan for i in range(len(x["served"])) for row in mixing.block_slots(x, i)]
+    assert [slot for _, _, slot in got] == list(range(sum(blocks.values())))
+    assert {(s, b) for s, b, _ in got} == {(s, b) for s, n in blocks.items() for b in range(n)}
+    return plan, [s for s, _, _ in got]
+
+
+def test_target_weights_hold_over_many_windows():
+    rng = random.Random(3)
+    for _ in range(150):
+        m = rng.randint(1, 30)
+        weights = {f"s{i:02}": rng.choice([rng.random() ** 3 + 1e-3, rng.randint(1, 5), 10.0]) for i in range(m)}
+        plan, order = planned({s: rng.randint(0, 60) for s in weights} | {"s00": 3}, weights, rng.choice([1, 7, 40]))
+        for x in plan:
+            assert deviations(order[x["slot"] : x["slot"] + x["slots"]], {s: weights[s] for s in x["share"]}) < 1
+
+
+@pytest.mark.parametrize(("sources", "heavy", "slots"), [(20, 0.20286, 12_000), (200, 0.1117, 6_000), (1_000, 0.5, 40_000)])
+def test_target_weights_of_many_sources(sources, heavy, slots):
+    weights = {"a": heavy} | {f"s{i}": (1 - heavy) / (sources - 1) for i in range(sources - 1)}
+    blocks = {s: int(w * slots) + 1 for s, w in weights.items()}
+    plan, order = planned(blocks, weights, mixing.WINDOW)
+    assert plan[0]["slots"] > 0.9 * slots
+    assert deviations(order[: plan[0]["slots"]], weights) < 1
+
+
+def test_mixed_rows_keep_the_target_weights(spark, monkeypatch):
+    weights = {"a": 0.5} | {f"s{i}": 0.5 / 999 for i in range(999)}
+    docs = spark.range(8_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 4_000, "a").otherwise(F.concat(F.lit("s"), F.col("id") % 999)).alias("source"), F.lit("t").alias("text"))
+    for send in (1 << 18, 0):
+        monkeypatch.setattr(mixing, "SLOTS_SENT", send)
+        rows = sorted(mixing.mix(docs, weights, block=1).select("source", "slot").collect(), key=lambda r: r.slot)
+        assert [r.slot for r in rows] == list(range(8_000))
+        assert deviations([r.source for r in rows[:5_900]], weights) < 1  # the first source is used up after about 6,000
+
+
+def test_sources_of_weight_zero_come_last():
+    _, order = planned({"a": 5, "b": 3, "z": 2}, {"a": 1.0, "b": 2.0, "z": 0.0}, 50)
+    assert order[-2:] == ["z", "z"]
+    with pytest.raises(ValueError):
+        mixing.phases({"a": 1}, {"a": -1.0})
