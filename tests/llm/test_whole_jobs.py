@@ -7,7 +7,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from mergeview.llm import mixing
+from mergeview.llm import licenses, mixing
 from tests.conftest import SF
 
 # --- pipeline ---
@@ -88,3 +88,22 @@ def test_sources_of_weight_zero_come_last():
     assert order[-2:] == ["z", "z"]
     with pytest.raises(ValueError):
         mixing.phases({"a": 1}, {"a": -1.0})
+
+
+# --- licences ---
+
+
+def test_all_notices_in_one_text_and_short_grants(spark):
+    notices = [passages[0] for passages, _ in licenses.TEMPLATES.values()]
+    rng = random.Random(5)
+    rng.shuffle(notices)
+    lines = {
+        "Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0": "apache-2.0", "BSD 3-Clause": "bsd", "It has an ISC license": "isc",
+        "See the Mozilla Public License, v. 2.0": "mpl-2.0", "GNU LGPL": "lgpl", "This is under the Unlicense": "unlicense", "MIT and a license": "", "Creative Commons Attribution 4.0": "cc-by",
+    }
+    texts = ["\n\nThird party:\n".join(notices), notices[0] + " and " + notices[1], *lines]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: r for r in rows}
+    assert set(licenses.TEMPLATES) <= set(got[0].labels.split(",")) and got[0].score == 1
+    assert [got[i + 2].labels for i in range(len(lines))] == list(lines.values())
+    assert all(got[i + 2].score == bool(label) for i, label in enumerate(lines.values()))
