@@ -8,7 +8,7 @@ get equal pseudonyms in all documents and the text keeps its shape:
 * US social security numbers, IPv4 addresses (each number up to 255) and dates of 1700-2099
   (1999-12-31, 31.12.1999, 12/31/1999 and 31/12/1999 where that is the only reading);
 * e-mail addresses: the part before the @ keeps its pattern of letters and digits;
-* access keys, hexadecimal tokens and passwords keep length and alphabet.
+* access keys, hexadecimal tokens (lower-case, upper-case or mixed) and passwords keep length and alphabet.
 
 The permutation is a Feistel network of ROUNDS rounds over two halves with SHA-256 of key, kind, round
 and other half as round function.  Numbers that fail validation stay.  All of it is Spark expressions.
@@ -28,9 +28,9 @@ _start, _end = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 #: Tried in this order at each place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+",
-    "password": r"(?<=password[=:])[^\s\"'<>]{4,}+",
+    "password": r"(?<=(?i:password)[\"']?[ \t]{0,8}[=:][ \t]{0,8}[\"']?)[^\s\"'<>]{4,}+",
     "access": _start + r"AKIA[0-9A-Z]{16}" + _end,
-    "hex": _start + r"[0-9a-f]{32,128}+" + _end,
+    "hex": _start + r"[0-9A-Fa-f]{32,128}+" + _end,
     "phone": r"(?<![0-9A-Za-z.\-])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{3}\) ?|[0-9]{3}[.\- ])|\([0-9]{3}\) ?|[2-9][0-9]{2}[.\- ](?=[2-9]))[0-9]{3}[.\- ][0-9]{4}(?![0-9A-Za-z]|[.\-][0-9])",
     "card": _start + r"(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}(?: [0-9]{1,3})?|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})" + _end,
     "ssn": r"(?<![0-9A-Za-z]|[0-9]\-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
@@ -38,9 +38,11 @@ PATTERNS = {
     "ip": r"(?<![0-9A-Za-z]|[0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
 }
 ANY = "|".join(PATTERNS.values())
-MAY = "[0-9@]|password"  # no match of ANY is without
+MAY = "[0-9@]|(?i:password)|AKIA|[A-Fa-f]{32}"  # no match of ANY is without
 
-HEX, UPPER = "0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+UPPER = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Kinds of hexadecimal tokens and their alphabets, from narrow to wide.
+HEX = {"hex": "0123456789abcdef", "hex-upper": "0123456789ABCDEF", "hex-mixed": "0123456789abcdefABCDEF"}
 
 
 def let(value: Column, use) -> Column:
@@ -65,7 +67,9 @@ def _added(text: Column, digest: Column, kind: Column, left: bool) -> Column:
         code = F.ascii(c)
         first = F.when(code.between(48, 57), 48).when(code.between(97, 122), 97).when(code.between(65, 90), 65)
         plain = F.when(first.isNull(), c).otherwise(F.char(first + F.pmod(code - first + b, F.when(first == 48, 10).otherwise(26))))
-        out = F.when(kind == "hex", in_alphabet(c, b, HEX)).when(kind == "access", in_alphabet(c, b, UPPER))
+        out = F.when(kind == "access", in_alphabet(c, b, UPPER))
+        for name, alphabet in HEX.items():
+            out = out.when(kind == name, in_alphabet(c, b, alphabet))
         if left:
             out = out.when((kind == "phone") & j.isin(1, 4), F.when(code < 50, F.char(48 + F.pmod(code - 48 + b, F.lit(2)))).otherwise(F.char(50 + F.pmod(code - 50 + b, F.lit(8)))))
         return out.otherwise(plain)
@@ -126,7 +130,9 @@ def regrouped(digits: Column, pattern: Column) -> Column:
 
 def kind_of(m: Column) -> Column:
     """Which of the patterns matched; a match's own text tells them apart without its surroundings."""
-    shape = F.when(m.contains("@"), "email").when(m.rlike("^AKIA[0-9A-Z]{16}$"), "access").when(m.rlike("^[0-9a-f]{32,128}$"), "hex")
+    shape = F.when(m.contains("@"), "email").when(m.rlike("^AKIA[0-9A-Z]{16}$"), "access")
+    for name, alphabet in HEX.items():
+        shape = shape.when(m.rlike(f"^[{alphabet}]{{32,128}}$"), name)
     shape = shape.when(m.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), "ip").when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
     shape = shape.when(m.rlike(r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1[0-9]{4})$"), "date")
     shape = shape.when(m.rlike(r"^(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.\- ])[0-9]{3}[.\- ][0-9]{4}$"), "phone")
