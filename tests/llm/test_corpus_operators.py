@@ -1,5 +1,6 @@
 """Joins, near-duplicates, URL filters, mixtures, toxicity and the pipeline against brute force, and their edge cases."""
 
+import math
 import random
 import re
 import zlib
@@ -149,9 +150,9 @@ def some_vectors(n=400, dims=32, seed=0):
     return rows + [(n, None), (n + 1, [0.0] * dims), (n + 2, [float("nan")] * dims), (n + 3, [None] * dims), (n + 4, []), (n + 5, [float("inf")] + [0.0] * (dims - 1))]
 
 
-@pytest.mark.parametrize("bucket", [1024, 20])
-def test_embeddings(spark, monkeypatch, bucket):
-    monkeypatch.setattr(embeddings, "BUCKET", bucket)
+@pytest.mark.parametrize("block", [4096, 20])
+def test_embeddings(spark, monkeypatch, block):
+    monkeypatch.setattr(embeddings, "BLOCK", block)
     rows = some_vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("cls", F.lit(1)).withColumn("t", F.lit("x"))
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect()}
@@ -168,10 +169,47 @@ def test_embeddings_edges(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
     assert [tuple(r) for r in embeddings.near_duplicates(df.where("vec_id = 3")).collect()] == [(3, 0, 3, True)]
     assert [tuple(r) for r in embeddings.near_duplicates(df.where("vec_id = 400")).collect()] == [(400, 0, 400, True)]
+    big, small = 1e308, 5e-324  # their squares overflow and underflow; a vector of another length is one of its own kind
+    odd = spark.createDataFrame([(1, [big, big]), (2, [small, small]), (3, [1.0, 1.0]), (4, [1.0, 1.0, 0.0]), (5, [2.0, 2.0, 0.0]), (6, [0.0]), (7, [-3.0]), (8, [4.0]), (9, [-1.0]), (None, [1.0]), (7, None)], "vec_id long, embedding array<double>")
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(odd).collect()), key=str)
+    assert got == sorted([(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (5, 1, 4), (6, 0, 6), (7, 1, 7), (7, 0, 7), (8, 1, 8), (9, 1, 7), (None, 1, 8)], key=str)
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(50)] + [(60, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     assert {(r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(same).collect()} == {(i, 49, 0) for i in range(50)} | {(60, 0, 60)}
 
 
+def with_mean(norm, n, dims, seed=1):
+    """Unit vectors around a mean of this length, a third of them one of a pair just above a cosine of 0.9 whose difference lies outside the mean."""
+    rng = np.random.default_rng(seed)
+    mean = np.zeros(dims)
+    mean[0] = norm
+    rest = math.sqrt(1 - norm * norm)
+    outside = lambda m: (z := np.concatenate([np.zeros((m, 1)), rng.normal(size=(m, dims - 1))], axis=1)) / np.linalg.norm(z, axis=1, keepdims=True)
+    a, b = outside(n), outside(n // 3)
+    b -= (b * a[: n // 3]).sum(axis=1, keepdims=True) * a[: n // 3]
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    cosine = (rng.uniform(0.9, 0.91, (n // 3, 1)) - norm**2) / rest**2
+    near = cosine * a[: n // 3] + np.sqrt(1 - cosine**2) * b
+    return np.concatenate([mean + rest * a, mean + rest * near])
+
+
+@pytest.mark.parametrize(("norms", "n"), [((0.0,), 6000), ((0.5,), 6000), ((0.8,), 6000), ((0.9,), 6000), ((0.0, 0.8), 3000)])
+def test_embedding_recall_with_a_long_mean(spark, norms, n):
+    """At least 0.95 of the pairs, also where lengths are mixed (64 and 48 components)."""
+    all_rows, found, want = [], 0, 0
+    for norm, dims in zip(norms, (64, 48)):
+        x = with_mean(norm, n, dims)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        want += sum(int((x[i : i + 1000] @ x.T >= 0.9).sum()) for i in range(0, len(x), 1000)) - len(x)
+        all_rows += [(len(all_rows) + i, v) for i, v in enumerate(x.tolist())]
+    found = sum(r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(all_rows, "vec_id long, embedding array<double>")).collect())
+    assert 0.95 * want <= found <= want
+
+
+def test_keys_grow_with_the_vectors():
+    x = with_mean(0.0, 3000, 64)
+    assert [len(embeddings.fit(x, n, 0.9)[2][0]) for n in (3_000, 300_000, 30_000_000, 3_000_000_000)] == sorted({len(embeddings.fit(x, n, 0.9)[2][0]) for n in (3_000, 300_000, 30_000_000, 3_000_000_000)})
+
+
 def test_embedding_query_recall(spark):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     got = {r.vec_id: r.n_links for r in catalog.op3_embedding_itq(spark, SF).collect()}
