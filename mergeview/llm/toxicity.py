@@ -1,23 +1,32 @@
 """Toxicity by class-conditional Kneser-Ney models of characters.
 
 Two models, of toxic and of ordinary labelled documents, give each character a probability after the
-ORDER - 1 before it in its word.  Where a class has not seen a continuation it backs off to one model of
-both classes together (interpolated Kneser-Ney with continuation counts), so rare expressions, such as
-unseen endings of a toxic stem, share counts and cancel where neither class knows better.  A document's
-evidence is the difference of the log-likelihoods over its length, together with the same over each of
-its words: the largest, the mean of the five largest of different words, and the mean excess over one
-half.  A logistic regression on labelled rows that the counts left out turns this into a score; the
-scores then use counts that take in these rows as well.
-
-Characters fall into 32 classes (a-z in either case, boundary, digits, four for other letters),
-so a model has at most 2**25 entries whatever the corpus, and that bounds what is sent to the executors.
-The counts cover all labelled rows of the counting folds.  Null and empty texts have no evidence and get
-the score of none.  Repeated rows give repeated results; a document labelled twice counts with its
-larger label.
+ORDER - 1 before it: interpolated Kneser-Ney, each order smoothed by the continuation counts of the next
+lower one (n-grams that begin with the blank before a word keep their whole counts, as those at the
+beginning of a sentence do).  The lowest orders are one model of both classes together, so rare expressions
+share backoff counts and cancel where neither class knows better.
+
+A text's evidence is the difference of its words' two log-likelihoods over its length; as one expression in a
+long text hardly moves that, the same over each of its words and pairs of words is looked at as well: the
+largest, the mean of the five largest of different words, the mean excess over one half, and the largest
+of a pair, whose second word's characters are judged after those of the first as well (in scripts without blanks a character is a word).  A logistic regression on labelled rows that the counts left out weighs these (and the length,
+as a maximum grows with it); the scores then use counts that take in these rows as well.
+
+Characters are the text's own: letters and marks of any script in lower case, digits as one, all else as
+one blank.  What is counted grows with the labelled texts and is kept as tables.  The log ratios are sent to
+the executors while there are at most SEND_ENTRIES; beyond that texts are dealt into chunks, the n-grams of
+each chunk are joined with the table by shuffle, and a chunk's answers meet its texts.  Both ways give the
+same scores.
+
+The counts cover all labelled rows of the counting folds, whole texts of any length.  Null and empty texts
+have no evidence and get the score of none.  Repeated rows give repeated results; a document labelled twice
+counts with its larger label, and rows that share an id share its label.  Other columns are not looked at,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 from collections.abc import Iterator
 
@@ -26,60 +35,83 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergeview.llm.tables import Saved
-from mergeview.llm.words import CHUNK_BYTES
 
-ORDER = 5
-BITS = 5  # of a character class
+ORDER = 6
 DISCOUNT = 0.75
-SHARED = 20.0  # times that a class's counts after a context hold the shared model's as well
+PRIOR = 20.0  # counts after a context that a class takes from the next lower order
+SHARED_ORDER = 2  # n-grams up to this size have one probability for both classes
 FIT_ROWS = 50_000  # labelled rows at most, those of smallest hash, for the logistic regression
 SEND_LABELS = 2_000_000  # labels up to which they are sent to the executors; beyond that they are joined by shuffle
+SEND_ENTRIES = 1 << 23  # log ratios up to which they are sent, 16 bytes each
+CHUNK = 3_000_000  # characters that a task looks at together
+HELD = 3_000_000  # different n-grams that a task gathers before it hands them on
 THRESHOLD = 0.3
-FEATURES = 5
-
-
-def _classes() -> np.ndarray:
-    out = np.zeros(0x110000, np.uint8)
-    for cp in range(0x3000):
-        c = chr(cp)
-        if c.isalpha():
-            small = c.lower()[0]
-            out[cp] = ord(small) - 96 if "a" <= small <= "z" else 27 + ord(small) % 4
-        elif c.isdigit():
-            out[cp] = 31
-    letters = np.arange(0x3000, 0x110000)
-    out[0x3000:] = np.where((letters < 0xD800) | (letters >= 0xF900), 27 + letters % 4, 0)
-    return out
-
+FEATURES = 6
+BLANK = 32
 
+_rng = np.random.Generator(np.random.PCG64(20250311))
+PLACE_KEYS = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 _lut: list[np.ndarray] = []
 
 
-def grams(text: str) -> np.ndarray:
-    """The packed n-gram that ends in each character; what lies before the word is boundary."""
+def _characters() -> np.ndarray:
+    """What each code point counts as."""
+    out = np.full(0x110000, BLANK, np.uint32)
+    for cp in range(0x110000):
+        kind = unicodedata.category(chr(cp))[0]
+        if kind in "LM":
+            out[cp] = cp
+        elif kind == "N":
+            out[cp] = 48
+    return out
+
+
+def characters(text: str) -> np.ndarray:
+    """The text as it is counted, with one blank at each end and between words."""
     if not _lut:
-        _lut.append(_classes())
-    c = _lut[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
-    c = np.concatenate([[0], c, [0]]).astype(np.int32)
+        _lut.append(_characters())
+    c = _lut[0][np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+    c = np.concatenate([[BLANK], c, [BLANK]]).astype(np.uint32)
     keep = np.ones(len(c), bool)
-    keep[1:] = (c[1:] != 0) | (c[:-1] != 0)  # one boundary between words
-    c = c[keep]
-    out, inside = c.copy(), np.ones(len(c), bool)
-    for back in range(1, ORDER):
-        before = np.zeros(len(c), np.int32)
-        before[back:] = c[:-back]
-        inside &= before != 0
-        out |= np.where(inside, before, 0) << (BITS * back)
-    return out[1:]
+    keep[1:] = (c[1:] != BLANK) | (c[:-1] != BLANK)
+    return c[keep]
 
 
-def fold(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(32)
+    h *= PLACE_KEYS[15]
+    return h ^ h >> np.uint64(29)
+
+
+def hashes(rows: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of `size` code points."""
+    n = len(rows) - size + 1
+    h = np.full(n, size, np.uint64)
+    for k in range(size):
+        h += rows[k : k + n] * PLACE_KEYS[k]
+    return _mixed(h)
 
 
-def _texts(batch) -> Iterator[tuple[int, str]]:
-    for i, x in enumerate(batch):
-        yield i, x.as_py() or ""
+def hashes_at(rows: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Those of the runs that begin there."""
+    h = np.full(len(starts), size, np.uint64)
+    for k in range(size):
+        h += rows[starts + k] * PLACE_KEYS[k]
+    return _mixed(h)
+
+
+def padded(c: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.full(ORDER - 2, BLANK, np.uint64), c])  # c begins with a blank
+
+
+def all_hashes(c: np.ndarray) -> np.ndarray:
+    """The different n-grams of every size up to ORDER that ratios() may ask for."""
+    p = padded(c)
+    return np.unique(np.concatenate([hashes(p, size) for size in range(1, ORDER + 1)]))
+
+
+def fold(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
 def gram_counts(labelled: DataFrame) -> DataFrame:
@@ -87,103 +119,246 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []  # hash, n-gram, toxic, ordinary
+        fresh: list[tuple[np.ndarray, int]] = []
+        size = 0
+
+        def merged() -> tuple[np.ndarray, ...]:
+            h, g, one, two = (np.concatenate(x) for x in zip(*held))
+            kinds, first, back = np.unique(h, return_index=True, return_inverse=True)
+            return kinds, g[first], *(np.bincount(back, weights=x, minlength=len(kinds)).astype(np.int64) for x in (one, two))
+
+        def counted() -> None:
+            """The texts at hand become n-grams with counts."""
+            nonlocal fresh, held, size
+            p = [padded(c) for c, _ in fresh]
+            h = np.concatenate([hashes(x, ORDER) for x in p])
+            ends = np.cumsum([len(x) for x in p])
+            lengths = np.array([len(x) - ORDER + 1 for x in p])
+            at = np.arange(len(h)) + np.repeat((ends - lengths) - np.concatenate([[0], np.cumsum(lengths)[:-1]]) - (ORDER - 1), lengths)
+            toxic = np.repeat([t for _, t in fresh], lengths)
+            kinds, first, back = np.unique(h, return_index=True, return_inverse=True)
+            one = np.bincount(back, weights=toxic, minlength=len(kinds)).astype(np.int64)
+            g = np.concatenate(p).astype(np.uint32)[at[first][:, None] + np.arange(ORDER)]
+            held.append((kinds, g, one, np.bincount(back, minlength=len(kinds)) - one))
+            held, fresh, size = [merged()], [], 0
+
+        def out() -> pa.RecordBatch:
+            _, g, one, two = held.pop()
+            text = np.ascontiguousarray(g).tobytes().decode("utf-32-le", "surrogatepass")
+            return pa.RecordBatch.from_arrays([pa.array([text[i : i + ORDER] for i in range(0, len(text), ORDER)], pa.string()), pa.array(one), pa.array(two)], ["g", "toxic", "ordinary"])
+
         for batch in batches:
-            labels = batch.column(1).to_pylist()
-            held, size = {0: [], 1: []}, 0
-
-            def out():
-                g = np.concatenate([*held[1], *held[0]])
-                toxic = np.arange(len(g)) < sum(map(len, held[1]))
-                kinds, inverse = np.unique(g, return_inverse=True)
-                one = np.bincount(inverse, weights=toxic, minlength=len(kinds)).astype(np.int64)
-                both = np.bincount(inverse, minlength=len(kinds)).astype(np.int64)
-                return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(one), pa.array(both - one)], ["g", "toxic", "ordinary"])
-
-            for i, text in _texts(batch.column(0)):
-                held[labels[i]].append(grams(text))
-                size += len(held[labels[i]][-1])
-                if size > CHUNK_BYTES:
-                    yield out()
-                    held, size = {0: [], 1: []}, 0
-            if size:
-                yield out()
-
-    return labelled.select("text", "toxic").mapInArrow(run, "g int, toxic long, ordinary long").groupBy("g").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-
-
-def _interpolated(counts: DataFrame, count: str, low: str, prior: float) -> Column:
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+                c = characters(text.as_py() or "")
+                if len(c) > 1:
+                    fresh.append((c, toxic))
+                    size += len(c)
+                if size > CHUNK:
+                    counted()
+                    if len(held[0][0]) > HELD:
+                        yield out()
+        if fresh:
+            counted()
+        if held:
+            yield out()
+
+    return labelled.select("text", "toxic").mapInArrow(run, "g string, toxic long, ordinary long").groupBy("g").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+
+def _interpolated(count: str, low: str, prior: float, after) -> Column:
     """(max(c - D, 0) + (D * kinds + prior) * low) / (total + prior), after each context; low where that has no count."""
-    after = Window.partitionBy(F.shiftright("g", BITS))
     total, kinds = F.sum(count).over(after), F.sum((F.col(count) > 0).cast("int")).over(after)
     return F.when(total > 0, (F.greatest(F.col(count) - DISCOUNT, F.lit(0.0)) + (DISCOUNT * kinds + prior) * F.col(low)) / (total + prior)).otherwise(F.col(low))
 
 
-def log_ratios(counts: DataFrame, saved: Saved) -> DataFrame:
-    """seen (false: key is a context), key, ratio: log of toxic over ordinary probability."""
-    top = saved.keep(counts.withColumn("n", F.col("toxic") + F.col("ordinary")))
-    tables = {ORDER: top.select("g", "n")}
-    for k in range(ORDER - 1, 0, -1):  # how many different characters stand before
-        tables[k] = tables[k + 1].groupBy(F.col("g").bitwiseAND((1 << BITS * k) - 1).alias("g")).agg(F.count("*").alias("n"))
-    everything = Window.partitionBy(F.lit(0))  # at most 32 rows
-    shared = tables[1].select("g", (F.col("n") / F.sum("n").over(everything)).alias("p"))
-    for k in range(2, ORDER + 1):
-        lower = shared.select(F.col("g").alias("suffix"), F.col("p").alias("low"))
-        joined = tables[k].withColumn("suffix", F.col("g").bitwiseAND((1 << BITS * (k - 1)) - 1)).join(lower, "suffix")
-        shared = joined.select("g", _interpolated(joined, "n", "low", 0.0).alias("p"))
-    both = saved.keep(top.join(shared, "g"))
-    seen = both.select(F.lit(True).alias("seen"), F.col("g").alias("key"), F.log(_interpolated(both, "toxic", "p", SHARED) / _interpolated(both, "ordinary", "p", SHARED)).alias("ratio"))
-    # an unseen continuation differs by the classes' weights of the shared model alone
-    weight = lambda c: F.when(F.sum(c) > 0, (DISCOUNT * F.sum((F.col(c) > 0).cast("int")) + SHARED) / (F.sum(c) + SHARED)).otherwise(F.lit(1.0))
-    contexts = both.groupBy(F.shiftright("g", BITS).alias("key")).agg(F.log(weight("toxic") / weight("ordinary")).alias("ratio"))
-    return seen.union(contexts.select(F.lit(False), "key", "ratio"))
-
-
-_dense: dict[str, np.ndarray] = {}
-
-
-def _table(sent) -> np.ndarray:
-    """Log ratio of every n-gram, one table for each worker."""
-    name, keys, ratios, contexts, own = sent.value
-    if name not in _dense:
-        _dense.clear()
-        out = np.zeros((1 << BITS * (ORDER - 1), 1 << BITS), np.float32)
-        out[contexts] = own[:, None]
-        out = out.reshape(-1)
-        out[keys] = ratios
-        _dense[name] = out
-    return _dense[name]
-
-
-def evidence(text: str, table: np.ndarray) -> tuple[float, ...]:
-    """Length-normalised difference of the whole text; its length; the words' largest, mean of five largest, mean excess."""
-    g = grams(text).astype(np.int64)
-    v = table[g].astype(float)
-    ends = np.flatnonzero((g & ((1 << BITS) - 1)) == 0)
-    if not len(ends) or len(g) < 2:
+def _weight(count: str) -> Column:
+    """What a context leaves to the next lower order."""
+    return F.when(F.sum(count) > 0, (DISCOUNT * F.sum((F.col(count) > 0).cast("int")) + PRIOR) / (F.sum(count) + PRIOR)).otherwise(F.lit(1.0))
+
+
+def log_ratios(counts: DataFrame, saved: Saved, order: int = ORDER, shared_order: int = SHARED_ORDER) -> DataFrame:
+    """g (of any length up to order), ratio (log of toxic over ordinary probability of its last character after the others)
+    and weight (log of the classes' weights of the next lower order where what follows g is unseen)."""
+    tables = {order: counts.select("g", "toxic", "ordinary", (F.col("toxic") + F.col("ordinary")).alias("both"))}
+    whole = tables[order]  # with whole counts beside those that smooth
+    for k in range(order - 1, 0, -1):
+        # how many different characters stand before; at the start of a word, where a blank always does, how often
+        sums = [F.sum(c).alias(f"whole_{c}") for c in ("toxic", "ordinary")] if k == order - 1 else [F.sum(f"whole_{c}").alias(f"whole_{c}") for c in ("toxic", "ordinary")]
+        kinds = [F.sum((F.col(c) > 0).cast("long")).alias(f"kinds_{c}") for c in ("toxic", "ordinary")]
+        whole = whole.groupBy(F.expr("substring(g, 2)").alias("g")).agg(*sums, *kinds, F.count("*").alias("kinds_both"))
+        begins = F.col("g").startswith(" ")
+        whole = whole.select(
+            "g", "whole_toxic", "whole_ordinary", *(F.when(begins, F.col(f"whole_{c}")).otherwise(F.col(f"kinds_{c}")).alias(c) for c in ("toxic", "ordinary")),
+            F.when(begins, F.col("whole_toxic") + F.col("whole_ordinary")).otherwise(F.col("kinds_both")).alias("both"),
+        )
+        whole = saved.keep(whole)
+        tables[k] = whole.select("g", "toxic", "ordinary", "both")
+    total = tables[1].agg(F.sum("both")).first()[0] or 1
+    lower = tables[1].select("g", (F.col("both") / total).alias("p")).select("g", "p", F.col("p").alias("q"))
+    out = None
+    for k in range(1, order + 1):
+        if k > 1:
+            low = lower.select(F.col("g").alias("suffix"), F.col("p").alias("low_p"), F.col("q").alias("low_q"))
+            joined = tables[k].withColumn("suffix", F.expr("substring(g, 2)")).join(low, "suffix")
+            after = Window.partitionBy(F.expr(f"left(g, {k - 1})"))  # as many rows as characters that follow the context
+            p = _interpolated("toxic", "low_p", PRIOR, after) if k > shared_order else _interpolated("both", "low_p", 0.0, after)
+            q = _interpolated("ordinary", "low_q", PRIOR, after) if k > shared_order else p
+            lower = saved.keep(joined.select("g", p.alias("p"), q.alias("q")))
+        rows = lower.select("g", F.log(F.col("p") / F.col("q")).alias("ratio"))
+        if shared_order <= k < order:
+            weights = tables[k + 1].groupBy(F.expr(f"left(g, {k})").alias("g")).agg(F.log(_weight("toxic") / _weight("ordinary")).alias("weight"))
+            rows = rows.join(weights, "g", "left")
+        else:
+            rows = rows.withColumn("weight", F.lit(None).cast("double"))
+        out = rows if out is None else out.union(rows)
+    return out.select("g", "ratio", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+
+
+def hashed(ratios: DataFrame, order: int = ORDER) -> DataFrame:
+    """h, ratio, weight: as texts look them up."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, h = batch.column(0).to_pylist(), np.zeros(len(batch), np.uint64)
+            lengths = np.array([len(x) for x in text])
+            for size in range(1, order + 1):
+                at = np.flatnonzero(lengths == size)
+                rows = np.frombuffer("".join(text[i] for i in at).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                if len(at):
+                    h[at] = hashes(rows, size)[::size]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(1).cast(pa.float32()), batch.column(2).cast(pa.float32())], ["h", "ratio", "weight"])
+
+    return ratios.select("g", "ratio", "weight").mapInArrow(run, "h long, ratio float, weight float")
+
+
+class Table:
+    """Hash -> log ratio and weight, over whole arrays."""
+
+    def __init__(self, h: np.ndarray, ratio: np.ndarray, weight: np.ndarray):
+        order = np.argsort(h, kind="stable")
+        none = np.float32(0)
+        self.h, self.ratio, self.weight = np.append(h[order], np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(ratio[order], none), np.append(weight[order], none)
+        bits = max(1, len(h).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.h[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift)
+
+    def at(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash stands, or would, and whether it does."""
+        at = self.first[(h >> self.shift).astype(np.int64)]
+        late = np.flatnonzero(self.h[at] < h)
+        while len(late):
+            at[late] += 1
+            late = late[self.h[at[late]] < h[late]]
+        return at, self.h[at] == h
+
+    def ratios(self, p: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """For the n-grams of these sizes that end there: the log ratio of the longest end of each that was seen, and the
+        weights of the contexts passed on the way."""
+        out, sizes = np.zeros(len(ends)), sizes.copy()
+        for size in range(ORDER, 0, -1):
+            own = np.flatnonzero(sizes == size)
+            if not len(own):
+                continue
+            starts = ends[own] - (size - 1)
+            at, found = self.at(hashes_at(p, starts, size))
+            out[own[found]] += self.ratio[at[found]]
+            own, starts = own[~found], starts[~found]
+            sizes[own] -= 1
+            if size > SHARED_ORDER and len(own):
+                at, found = self.at(hashes_at(p, starts, size - 1))  # the context: all but the last character
+                out[own[found]] += self.weight[at[found]]
+        return out
+
+
+def _alone(c: np.ndarray) -> np.ndarray:
+    """Characters of scripts without blanks between words, each a word of its own: Thai, Lao, Han, kana, Yi and the like."""
+    return ((c >= 0x0E00) & (c < 0x0F00)) | ((c >= 0x2E80) & (c < 0xA4D0)) | (c >= 0x20000)
+
+
+def evidence(text: str, table: Table) -> tuple[float, ...]:
+    """Length-normalised differences of log-likelihoods: of the whole text; the words' largest, mean of five largest, mean
+    excess; the largest of two neighbouring words; and the logarithm of the length."""
+    c = characters(text)
+    if len(c) < 2:
         return (0.0,) * FEATURES
+    p = padded(c)
+    last = np.arange(ORDER - 1, len(p))  # where each character after the first blank stands
+    blanks = np.flatnonzero(p[:-1] == BLANK)
+    since = last - blanks[np.searchsorted(blanks, last - 1, "right") - 1]  # the last blank before it
+    inside = np.minimum(since + 1, ORDER)
+    v = table.ratios(p, last, inside)
+    w = v.copy()
+    reach = np.flatnonzero(inside < ORDER)  # the same with what the words before add
+    w[reach] = table.ratios(p, last[reach], np.full(len(reach), ORDER))
+    ends = np.flatnonzero((c[1:] == BLANK) | _alone(c[1:]))  # a word ends with the blank after it
     starts = np.concatenate([[0], ends[:-1] + 1])
-    words = np.add.reduceat(v, starts) / (ends + 1 - starts)
-    place = np.arange(1, len(g) + 1) - np.repeat(starts, ends + 1 - starts)
-    _, different = np.unique(np.add.reduceat(g * place * place, starts), return_index=True)
+    sums, sizes = np.add.reduceat(v, starts), ends + 1 - starts
+    words = sums / sizes
+    place = np.arange(len(v)) - np.repeat(starts, sizes)
+    kinds = np.add.reduceat(c[1:].astype(np.uint64) * PLACE_KEYS[place % 15] * (place + 1).astype(np.uint64), starts)
     top = np.zeros(5)
-    most = np.sort(words[different])[::-1][:5]
+    order = np.argsort(-words, kind="stable")  # the largest value of each different word
+    _, different = np.unique(kinds[order], return_index=True)
+    most = np.sort(words[order[different]])[::-1][:5]
     top[: len(most)] = most
-    return float(v.mean()), float(np.log1p(len(g))), float(most[0]), float(top.mean()), float(np.maximum(words - 0.5, 0).mean())
+    pairs = ((np.add.reduceat(w, starts)[1:] + sums[:-1]) / (sizes[1:] + sizes[:-1])).max() if len(words) > 1 else words[0]
+    return float(v.mean()), float(most[0]), float(top.mean()), float(np.maximum(words - 0.5, 0).mean()), float(pairs), float(np.log1p(len(v)))
+
 
+_tables: dict[str, Table] = {}
 
-def _features(rows: DataFrame, sent, extra: str) -> DataFrame:
-    """rows: the columns of `extra`, then text."""
+
+def _features(rows: DataFrame, ratios: DataFrame, saved: Saved, extra: str) -> DataFrame:
+    """rows: the columns of `extra`, then text.  ratios: h, ratio, weight."""
     import pyarrow as pa
 
     names = [*(x.split()[0] for x in extra.split(", ")), *(f"f{i}" for i in range(FEATURES))]
+    schema = f"{extra}, " + ", ".join(f"f{i} double" for i in range(FEATURES))
+    columns = names[:-FEATURES]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(sent)
+    def measured(texts, own: list, table: Table) -> list:
+        got = [evidence(x.as_py() or "", table) for x in texts]
+        return [*own, *(pa.array([g[i] for g in got], pa.float64()) for i in range(FEATURES))]
+
+    ratios = saved.keep(ratios)
+    if ratios.count() <= SEND_ENTRIES:
+        got = ratios.toArrow()
+        sent = rows.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, got["h"].to_numpy().view(np.uint64), got["ratio"].to_numpy(), got["weight"].to_numpy()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            name, *parts = sent.value
+            if name not in _tables:
+                _tables.clear()
+                _tables[name] = Table(*parts)
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays(measured(batch.columns[-1], batch.columns[:-1], _tables[name]), names)
+
+        return rows.mapInArrow(run, schema)
+
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    dealt = saved.keep(rows.withColumn("_chunk", F.pmod(F.xxhash64(*columns, "text"), F.lit(1 + size // CHUNK))))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The different n-grams and contexts of the texts at hand, by chunk."""
         for batch in batches:
-            got = [evidence(x, table) for _, x in _texts(batch.columns[-1])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([g[i] for g in got], pa.float64()) for i in range(FEATURES))], names)
+            by: dict[int, list[np.ndarray]] = {}
+            for chunk, text in zip(batch.column(1).to_pylist(), batch.column(0)):
+                c = characters(text.as_py() or "")
+                if len(c) > 1:
+                    by.setdefault(chunk, []).append(all_hashes(c))
+            for chunk, found in by.items():
+                h = np.unique(np.concatenate(found)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), chunk, np.int64)), pa.array(h)], ["_chunk", "h"])
+
+    answers = dealt.select("text", "_chunk").mapInArrow(ask, "_chunk long, h long").distinct().join(ratios, "h").select("_chunk", "h", "ratio", "weight")
 
-    return rows.mapInArrow(run, f"{extra}, " + ", ".join(f"f{i} double" for i in range(FEATURES)))
+    def answered(texts: pa.Table, known: pa.Table) -> pa.Table:
+        table = Table(known["h"].to_numpy().view(np.uint64), known["ratio"].to_numpy(), known["weight"].to_numpy())
+        return pa.table(measured(texts["text"], [texts[c] for c in columns], table), names)
+
+    return dealt.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(answered, schema)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, np.ndarray]:
@@ -201,37 +376,34 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[flo
     return float(w[0] - (w[1:] * mean / spread).sum()), w[1:] / spread
 
 
-def score(docs: DataFrame, labels: DataFrame, held_out_fold: int = 2, fit_fold: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """doc_id, held_out, score, predicted.  Only rows of labels outside the held-out fold are read for training."""
+def score(docs: DataFrame, labels: DataFrame, held_out_fold: int = 2, fit_fold: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", features: tuple[int, ...] = tuple(range(FEATURES))) -> DataFrame:
+    """doc_id, held_out, score, predicted.  Only rows of labels outside the held-out fold are read for training.
+
+    features: which of evidence()'s numbers are weighed; (0,) is the difference over the whole text alone.
+    """
     spark = docs.sparkSession
     saved = Saved(spark)
-    docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    labels = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(fold(F.col("doc_id")) != held_out_fold)
+    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    labels = labels.select(labels["doc_id"], labels[label_col].cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(fold(F.col("doc_id")) != held_out_fold)
     labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if labels.count() <= SEND_LABELS:
         labels = F.broadcast(labels)
     training = docs.where(fold(F.col("doc_id")) != held_out_fold).join(labels, "doc_id")
     counting, fitting = training.where(fold(F.col("doc_id")) != fit_fold), training.where(fold(F.col("doc_id")) == fit_fold)
-
-    def sent(counts: DataFrame):
-        ratios = log_ratios(counts, saved).toArrow()
-        seen = ratios["seen"].to_numpy()
-        keys, values = ratios["key"].to_numpy(), ratios["ratio"].to_numpy().astype(np.float32)
-        return spark.sparkContext.broadcast((uuid.uuid4().hex, keys[seen], values[seen], keys[~seen], values[~seen]))
-
     some, rest = (saved.keep(gram_counts(x)) for x in (counting, fitting))
 
-    measured = _features(fitting.select(F.xxhash64("doc_id").alias("h"), "toxic", "text"), sent(some), "h long, toxic int")
-    known = np.array(measured.orderBy("h").limit(FIT_ROWS).drop("h").collect(), float).reshape(-1, 1 + FEATURES)
+    measured = _features(fitting.select(F.xxhash64("doc_id", "text").alias("h"), "toxic", "text"), hashed(log_ratios(some, saved)), saved, "h long, toxic int")
+    used = [f"f{i}" for i in features]
+    known = np.array(measured.orderBy("h", "toxic", *used).limit(FIT_ROWS).select("toxic", *used).collect(), float).reshape(-1, 1 + len(used))
     y = known[:, 0]
     if 0 < y.sum() < len(y):
         intercept, weights = fit_logistic(known[:, 1:], y)
     else:  # one class or no rows: nothing to tell apart
         rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.01
-        intercept, weights = float(np.log(rate / (1 - rate))), np.zeros(FEATURES)
+        intercept, weights = float(np.log(rate / (1 - rate))), np.zeros(len(used))
     every = some.union(rest).groupBy("g").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     logit = F.lit(intercept)
-    for i, w in enumerate(weights):
-        logit = logit + F.col(f"f{i}") * float(w)
-    out = _features(docs, sent(every), "doc_id long").withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit)))))
+    for f, w in zip(used, weights):
+        logit = logit + F.col(f) * float(w)
+    out = _features(docs, hashed(log_ratios(every, saved)), saved, "doc_id long").withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit)))))
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == held_out_fold, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -302,36 +303,139 @@ def test_fold_is_crc32(spark):
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 4 for r in rows)
 
 
+def characters_of(text):
+    """The text as it is counted, the slow way."""
+    out = " "
+    for c in text.lower():
+        kind = unicodedata.category(c)[0]
+        c = c if kind in "LM" else "0" if kind == "N" else " "
+        out += c if (out[-1], c) != (" ", " ") else ""
+    return out if out[-1] == " " else out + " "
+
+
+def brute_kneser_ney(texts):
+    """counts of n-grams by class; probabilities of a character after a context, by class, with all orders."""
+    d, a, top = toxicity.DISCOUNT, toxicity.PRIOR, toxicity.ORDER
+    want = Counter()
+    for t, y in texts:
+        c = " " * (top - 2) + characters_of(t or "")
+        want.update((c[i : i + top], y) for i in range(len(c) - top + 1))
+    counts = {g: (want[g, 1], want[g, 0]) for g in {g for g, _ in want}}
+    level = {top: {g: (*c, sum(c)) for g, c in counts.items()}}
+    whole = {top: level[top]}
+    for k in range(top - 1, 0, -1):
+        kinds = {x[1:] for x in level[k + 1]}
+        whole[k] = {g: tuple(sum(c[i] for x, c in whole[k + 1].items() if x[1:] == g) for i in range(3)) for g in kinds}
+        level[k] = {g: whole[k][g] if g[0] == " " else tuple(sum(c[i] > 0 for x, c in level[k + 1].items() if x[1:] == g) for i in range(3)) for g in kinds}
+
+    def p(which, g):
+        k = len(g)
+        if k == 1:
+            return level[1][g][2] / sum(c[2] for c in level[1].values()) if g in level[1] else 1e-9
+        if k <= toxicity.SHARED_ORDER:
+            which, prior = 2, 0.0
+        else:
+            prior = a
+        same = [c[which] for x, c in level[k].items() if x[:-1] == g[:-1]]
+        if not sum(same):
+            return p(which, g[1:])
+        return (max(level[k].get(g, (0, 0, 0))[which] - d, 0) + (d * sum(c > 0 for c in same) + prior) * p(which, g[1:])) / (sum(same) + prior)
+
+    return counts, level, p
+
+
 def test_kneser_ney_ratios(spark):
-    texts = [("abab abc", 1), ("abc bcd", 0), ("bcd bcd é9", 0), ("", 0)]
+    texts = [("abab abc", 1), ("abc bcd", 0), ("bcd  bcd é9x", 0), ("", 0), ("тест: 漢字 Straße", 1), (None, 0)]
     df = spark.createDataFrame(texts, "text string, toxic int")
-    counts = {r.g: (r.toxic, r.ordinary) for r in toxicity.gram_counts(df).collect()}
-    want = Counter((int(g), y) for t, y in texts for g in toxicity.grams(t))
-    assert counts == {g: (want[g, 1], want[g, 0]) for g in {g for g, _ in want}}
-    d, a, top = toxicity.DISCOUNT, toxicity.SHARED, toxicity.ORDER
-    level = {top: {g: sum(c) for g, c in counts.items()}}
-    for k in range(top - 1, 0, -1):
-        level[k] = Counter(g & ((1 << 5 * k) - 1) for g in level[k + 1])
+    counts, level, p = brute_kneser_ney(texts)
+    got_counts = toxicity.gram_counts(df)
+    assert {r.g: (r.toxic, r.ordinary) for r in got_counts.collect()} == counts
+    saved = Saved(spark)
+    ratios = saved.keep(toxicity.log_ratios(got_counts, saved))
+    rows = ratios.collect()
+    got = {r.g: r.ratio for r in rows}
+    assert len(rows) == len(got) and got.keys() == {g for x in level.values() for g in x}
+    for g in got:
+        assert got[g] == pytest.approx(np.log(p(0, g) / p(1, g)), abs=1e-9)
+    # a text's first number is the mean over its characters of the log ratio in their words, whether their n-grams were seen or not
+    sent = toxicity.hashed(ratios).toArrow()
+    table = toxicity.Table(sent["h"].to_numpy().view(np.uint64), sent["ratio"].to_numpy(), sent["weight"].to_numpy())
+    for text in ("abab abcd", "漢字 тест", "zzz", "é9", "cdba bc", "漢cb"):
+        words = [f" {w} " for w in characters_of(text).split()]
+        each = [np.log(p(0, g) / p(1, g)) for g in (w[max(0, i - toxicity.ORDER + 1) : i + 1] for w in words for i in range(1, len(w)))]
+        assert toxicity.evidence(text, table)[0] == pytest.approx(np.mean(each), abs=1e-5)
+        if len(words) == 2 and text.isascii():  # the pair: the second word's characters after both words
+            c, n = " " * (toxicity.ORDER - 2) + characters_of(text), len(words[0]) - 1
+            across = [np.log(p(0, g) / p(1, g)) for g in (c[i : i + toxicity.ORDER] for i in range(n, len(c) - toxicity.ORDER + 1))]
+            assert toxicity.evidence(text, table)[4] == pytest.approx((sum(each[:n]) + sum(across)) / len(each), abs=1e-5)
+
+
+def test_counts_in_small_steps_are_the_same(spark, monkeypatch):
+    texts = [(" ".join(random.Random(i).choices(["ab", "bca", "éa", "漢"], k=40)), i % 2) for i in range(50)]
+    df = spark.createDataFrame(texts, "text string, toxic int")
+    want = brute_kneser_ney(texts)[0]
+    monkeypatch.setattr(toxicity, "CHUNK", 100)
+    monkeypatch.setattr(toxicity, "HELD", 50)
+    assert {r.g: (r.toxic, r.ordinary) for r in toxicity.gram_counts(df).collect()} == want
 
-    def after(table, g):
-        return {x: c for x, c in table.items() if x >> 5 == g >> 5}
 
-    def shared(k, g):
-        if k == 1:
-            return level[1][g] / sum(level[1].values())
-        same = after(level[k], g)
-        total, low = sum(same.values()), shared(k - 1, g & ((1 << 5 * (k - 1)) - 1))
-        return (max(level[k][g] - d, 0) + d * sum(c > 0 for c in same.values()) * low) / total
-
-    def own(which, g):
-        same = after({x: c[which] for x, c in counts.items()}, g)
-        total = sum(same.values())
-        return (max(counts[g][which] - d, 0) + (d * sum(c > 0 for c in same.values()) + a) * shared(top, g)) / (total + a) if total else shared(top, g)
-
-    got = {(r.seen, r.key): r.ratio for r in toxicity.log_ratios(toxicity.gram_counts(df), Saved(spark)).collect()}
-    assert {k for s, k in got if s} == counts.keys() and {k for s, k in got if not s} == {g >> 5 for g in counts}
-    for g in counts:
-        assert got[True, g] == pytest.approx(np.log(own(0, g) / own(1, g)))
+SCRIPTS = {
+    "latin": ("the ther onan inge stre ble ande ish".split(), "vequ", "a ist onde erre iss ale".split(), " "),
+    "cyrillic": ("тор ман ления прос дерев слова рука".split(), "дурз", "а ист онде ерре".split(), " "),
+    "han": (list("山川日月水火木金土人口目耳手足心"), "呪罵", list("山川日月"), ""),
+    "words": ("you the die of and now go was here home it did".split(), "you die", [""], " "),  # ordinary words, never together elsewhere
+}
+
+
+def corpus_with(script, n=900, seed=0):
+    rng = random.Random(seed)
+    ordinary, stem, ends, between = SCRIPTS[script]
+    rows, labels = [], []
+    for i in range(n):
+        w = [rng.choice(ordinary) for _ in range(rng.randint(20, 80))]
+        w = [x for k, x in enumerate(w) if not (script == "words" and x == "die" and k and w[k - 1] == "you")]
+        w = between.join(w).replace("you die", "you did").split(between) if between else w
+        if i % 6 == 0:
+            for _ in range(4):
+                w.insert(rng.randrange(len(w)), stem + rng.choice(ends))
+        rows.append((i, between.join(w)))
+        labels.append((i, int(i % 6 == 0)))
+    return rows, labels
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_toxic_expressions_of_any_script_and_of_ordinary_words(spark, script):
+    rows, labels = corpus_with(script)
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    truth = dict(labels)
+    held = [(truth[r.doc_id], r.predicted) for r in got if r.held_out]
+    assert np.mean([p for y, p in held if y]) >= 0.9 and np.mean([p for y, p in held if not y]) <= 0.05
+
+
+def test_tables_that_are_not_sent_give_the_same_scores(spark, monkeypatch):
+    rows, labels = corpus_with("latin", 200)
+    docs = spark.createDataFrame([*rows, (None, "vequa"), (3, None), (4, "")], "doc_id long, text string").withColumn("_chunk", F.lit("x"))
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    sent = sorted((str(r.doc_id), r.score) for r in toxicity.score(docs, known).collect())
+    monkeypatch.setattr(toxicity, "SEND_ENTRIES", -1)
+    monkeypatch.setattr(toxicity, "CHUNK", 3000)
+    monkeypatch.setattr(toxicity, "SEND_LABELS", -1)
+    joined = sorted((str(r.doc_id), r.score) for r in toxicity.score(docs, known).collect())
+    assert [a for a, _ in sent] == [a for a, _ in joined] and [b for _, b in sent] == pytest.approx([b for _, b in joined])
+
+
+def test_what_is_added_to_the_whole_text_s_difference(spark):
+    """On held-out documents the difference of log-likelihoods ranks by itself; words and pairs rank no worse."""
+    rows, labels = corpus_with("latin", 600)
+    docs, known, truth = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), dict(labels)
+
+    def area(features):
+        held = sorted((r.score, truth[r.doc_id]) for r in toxicity.score(docs, known, features=features).collect() if r.held_out)
+        ranks = [i for i, (_, y) in enumerate(held) if y]
+        m, n = len(ranks), len(held) - len(ranks)
+        return (sum(ranks) - m * (m - 1) / 2) / (m * n)
+
+    assert area((0,)) >= 0.9 and area(tuple(range(toxicity.FEATURES))) >= 0.97
 
 
 def test_toxicity_finds_held_out(spark):
