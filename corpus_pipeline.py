@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergeview.llm import bpe, jaccard, mixing, pii, quality
+from mergeview.llm.catalog import VOCABULARIES
 from mergeview.llm.tables import Saved, importable
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
-    return quality.keep(docs, {"multi": public_tokenizers.path("byte_bpe_multi_50k.tiktoken")}, public_tokenizers.PATTERN)
+    return quality.keep(docs, VOCABULARIES, public_tokenizers.PATTERN)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,8 +32,12 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "n_shingles", "component_id")
 
 
+#: name in the bands -> file
+VOCABULARIES = {"multi": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "english": public_tokenizers.path("byte_bpe_50k.tiktoken")}
+
+
 def op5_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.measure(table(spark, sf_dir, "documents"), {"multi": public_tokenizers.path("byte_bpe_multi_50k.tiktoken")}, public_tokenizers.PATTERN)
+    return quality.measure(table(spark, sf_dir, "documents"), VOCABULARIES, public_tokenizers.PATTERN)
 
 
 #: verdict, host, path

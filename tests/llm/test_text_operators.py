@@ -93,34 +93,93 @@ def some_texts(n=150, seed=4):
     return ["".join(rng.choice("ab \n\té#") for _ in range(rng.choice([0, 1, 3, 8, 40, 200]))) for _ in range(n)]
 
 
+SAMPLES = {
+    "cyrillic": "Сегодня утром мы пошли на рынок, чтобы купить свежие овощи и хлеб. Погода была хорошая, и люди медленно гуляли по улицам города.",
+    "greek": "Σήμερα το πρωί πήγαμε στην αγορά για να αγοράσουμε φρέσκα λαχανικά και ψωμί. Ο καιρός ήταν καλός και οι άνθρωποι περπατούσαν αργά.",
+    "arabic": "ذهبنا هذا الصباح إلى السوق لشراء الخضروات الطازجة والخبز. كان الطقس جميلا وكان الناس يمشون ببطء في شوارع المدينة.",
+    "hebrew": "הבוקר הלכנו לשוק לקנות ירקות טריים ולחם. מזג האוויר היה נעים ואנשים הלכו לאט ברחובות העיר.",
+    "indic": "आज सुबह हम ताज़ी सब्ज़ियाँ और रोटी खरीदने बाज़ार गए। मौसम अच्छा था और लोग शहर की सड़कों पर धीरे धीरे चल रहे थे।",
+    "thai": "เช้านี้เราไปตลาดเพื่อซื้อผักสดและขนมปัง อากาศดีและผู้คนเดินช้า ๆ บนถนนในเมือง",
+    "han": "今天早上我们去市场买新鲜的蔬菜和面包。天气很好，人们慢慢地走在城市的街道上。",
+    "kana": "きょうのあさ、わたしたちはしんせんなやさいとパンをかうためにいちばへいきました。てんきはよく、ひとびとはゆっくりあるいていました。",
+    "hangul": "오늘 아침 우리는 신선한 채소와 빵을 사러 시장에 갔습니다. 날씨가 좋았고 사람들은 도시의 거리를 천천히 걸었습니다.",
+    "latin": "Dziś rano poszliśmy na targ, żeby kupić świeże warzywa i chleb. Pogoda była dobra, a ludzie powoli spacerowali ulicami miasta.",
+}
+
+
+def test_bands_of_scripts_tell_sentences_from_noise():
+    """Natural sentences lie in their script's bands, wrongly decoded ones don't, and in most scripts neither do their characters at random."""
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    noise = {k: "".join(rng.sample(x, len(x))) for k, x in SAMPLES.items()}
+    garbled = {k: x.encode().decode("cp1252", "ignore") for k, x in SAMPLES.items() if k not in ("latin", "indic", "thai")}
+
+    def fits(texts):
+        ((_, t),) = quality.chunks(pa.array(list(texts.values())), lower=False)
+        _, _, inside, names, _ = quality.judge(t, list(texts.values()), [None] * len(texts), catalog.VOCABULARIES, P.PATTERN, quality.BANDS)
+        return dict(zip(texts, inside.tolist())), dict(zip(texts, names))
+
+    inside, names = fits(SAMPLES)
+    assert all(inside.values()) and names == {k: k for k in SAMPLES}
+    assert not any(fits(garbled)[0].values())
+    assert {k for k, x in fits(noise)[0].items() if x} <= {"han", "kana", "thai", "indic"}  # a character is a token or less there
+
+
+def brute_kept(text, lang):
+    """The verdict by each vocabulary's own encoder, one text at a time."""
+    n = base_counts(text)
+    if n[0] < 10 or 100 * n[4] > 20 * n[0]:
+        return False
+    for band in quality.BANDS[lang]:
+        encoding, partial = quality.vocabulary(catalog.VOCABULARIES[band.vocabulary], P.PATTERN)
+        ids = encoding.encode_ordinary(text)
+        k, c = len(ids), Counter(ids)
+        entropy = -sum(x / k * math.log2(x / k) for x in c.values()) / max(1, math.log2(max(2, k)))
+        per = len(text) / k
+        if not (per + quality.SLACK / math.sqrt(k) >= band.min_chars_per_token and per <= band.max_chars_per_token and sum(map(bool, partial[ids])) / k <= band.max_fallback_share and entropy >= band.min_entropy_share):
+            return False
+    return True
+
+
 def test_quality(spark):
     texts = EDGES + some_texts()
-    path = P.path("byte_bpe_multi_50k.tiktoken")
-    got = {r.doc_id: r for r in quality.measure(frame(spark, texts), {"multi": path}, P.PATTERN).collect()}
-    encoding, partial = quality.vocabulary(path, P.PATTERN)
+    got = {r.doc_id: r for r in quality.measure(frame(spark, texts).withColumn("band", F.lit(1)), catalog.VOCABULARIES, P.PATTERN).collect()}
     for i, t in enumerate(texts):
         r, want = got[i], base_counts(t or "")
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, t
         assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
-        ids = encoding.encode_ordinary(t or "")
-        assert r.multi_n_tokens == len(ids)
-        if ids:
-            c = Counter(ids)
-            entropy = -sum(k / len(ids) * math.log2(k / len(ids)) for k in c.values())
-            assert r.multi_chars_per_token == pytest.approx(len(t) / len(ids)) and r.multi_fallback_share == pytest.approx(sum(map(bool, partial[ids])) / len(ids))
-            assert r.multi_entropy_share == pytest.approx(entropy / max(1, math.log2(max(2, len(ids)))))
         assert not (r.kept and r.base_failed)
-    kept = quality.keep(frame(spark, texts), {"multi": path}, P.PATTERN)
+        for band in quality.BANDS[r.band]:
+            encoding, partial = quality.vocabulary(catalog.VOCABULARIES[band.vocabulary], P.PATTERN)
+            ids, v = encoding.encode_ordinary(t or ""), band.vocabulary
+            assert r[f"{v}_n_tokens"] == len(ids)
+            if ids:
+                c = Counter(ids)
+                entropy = -sum(k / len(ids) * math.log2(k / len(ids)) for k in c.values())
+                assert r[f"{v}_chars_per_token"] == pytest.approx(len(t) / len(ids)) and r[f"{v}_fallback_share"] == pytest.approx(sum(map(bool, partial[ids])) / len(ids))
+                assert r[f"{v}_entropy_share"] == pytest.approx(entropy / max(1, math.log2(max(2, len(ids)))))
+    kept = quality.keep(frame(spark, texts), catalog.VOCABULARIES, P.PATTERN)
     assert kept.columns == frame(spark, texts).columns
     assert {r.doc_id for r in kept.collect()} - {None} == {i for i, r in got.items() if i is not None and r.kept}
-    assert quality.keep(frame(spark, texts).limit(0), {"multi": path}, P.PATTERN).count() == 0
+    assert quality.keep(frame(spark, texts).limit(0), catalog.VOCABULARIES, P.PATTERN).count() == 0
+
+
+def test_quality_query_by_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert {r.doc_id: r.kept for r in catalog.op5_quality_fertility(spark, SF).collect()} == {r.doc_id: brute_kept(r.text or "", r.lang) for r in rows}
+
 
+def test_bands_on_documents_they_were_not_set_from(spark):
+    """In the fold that the bands were not set from, good documents stay and half of the bad ones that pass the base rules go."""
+    from mergeview.llm.toxicity import fold
 
-def test_clean_documents_stay(spark):
-    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    judged = catalog.op5_quality_fertility(spark, SF).join(labels, "doc_id").where("quality = 1 and not base_failed")
-    assert judged.where("not kept").count() == 0 and judged.count() > 20
-    assert quality.band_report(catalog.op5_quality_fertility(spark, SF), docs, "multi").count() == 4
+    sf = "/root/testdata/sf0.1"
+    judged = catalog.op5_quality_fertility(spark, sf)
+    rows = judged.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").where(fold(F.col("doc_id")) == 2).collect()
+    share = lambda q: (lambda x: sum(x) / len(x))([r.kept for r in rows if r.quality == q])
+    assert share(1) >= 0.985 and share(0) <= 0.5
+    assert quality.band_report(judged, "multi").count() == 4
 
 
 def test_shingle_sets():
