@@ -83,11 +83,42 @@ def near_copies(seed, groups=14, common=True):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("hot_from", [64, 3])
-def test_join_is_exact(spark, monkeypatch, hot_from):
+def brute_pairs(e):
+    """All pairs of entries of one list, with the skipped ones left out one by one."""
+    out = set()
+    for a in range(len(e)):
+        for b in range(a):
+            x, y = e[a], e[b]
+            n, m = int(x["n"]), int(y["n"])
+            if x["shingle"] == y["shingle"] and x["component"] != y["component"] and 5 * min(n, m) >= 4 * max(n, m) and min(n - int(x["at"]), m - int(y["at"])) >= -(-4 * (n + m) // 9):
+                out.add((min(int(x["cls"]), int(y["cls"])), max(int(x["cls"]), int(y["cls"]))))
+    return out
+
+
+@pytest.mark.parametrize("at_once", [3, 1_000_000])
+def test_blocks_of_an_index_list_are_skipped_before_pairs_are_made(monkeypatch, at_once):
+    monkeypatch.setattr(jaccard, "PAIRS_AT_ONCE", at_once)
+    rng = np.random.default_rng(2)
+    for size in (0, 1, 2, 40, 150):
+        e = np.zeros(size, jaccard.ENTRY)
+        e["shingle"], e["cls"], e["n"] = rng.integers(0, 4, size), rng.permutation(size) - 20, rng.integers(1, 30, size)
+        e["component"] = np.where(rng.random(size) < 0.5, rng.integers(0, 4, size), e["cls"] + 1000)
+        e["at"] = rng.integers(0, 1 + e["n"] // 5)
+        got = jaccard.pairs_of(e)
+        assert {tuple(x) for x in got.tolist()} == brute_pairs(e) and len(got) == len(brute_pairs(e))
+    # 40,000 sets under one shingle, which their positions rule out: no pair is made
+    e = np.zeros(40_000, jaccard.ENTRY)
+    e["cls"] = e["component"] = np.arange(len(e))
+    e["n"], e["at"] = 10, 2
+    assert not len(jaccard.pairs_of(e))
+
+
+@pytest.mark.parametrize(("hot_from", "long"), [(64, 50_000), (3, 4)])
+def test_join_is_exact(spark, monkeypatch, hot_from, long):
     monkeypatch.setattr(jaccard, "HOT_FROM", hot_from)
     monkeypatch.setattr(jaccard, "FLUSH", 500)
-    monkeypatch.setattr(jaccard, "PAIRS_AT_ONCE", 50)
+    monkeypatch.setattr(jaccard, "LONG", long)
+    monkeypatch.setattr(jaccard, "LONG_BLOCK", 3)
     rows = near_copies(hot_from)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("cls", F.lit("extra")).withColumn("n", F.lit(1))
     placed, links = jaccard.join(df)
@@ -109,6 +140,17 @@ def test_join_without_filter_and_edge_tables(spark, monkeypatch):
     assert got == sorted([(None, 3), (None, 3), (3, 3), (3, 3), (4, 4)], key=str)
 
 
+def test_one_of_each_loses_no_text(spark):
+    """Rows that share an id but not their text are kept; repeated rows are kept once; columns with the names used inside stay."""
+    a, b = "a b c d e f g h i j k l m n", "quite another text that shares nothing at all with it"
+    rows = [(1, a, "x"), (1, b, "x"), (1, a, "x"), (2, a, "y"), (3, b, "y"), (4, "alone here", "z"), (5, None, "n"), (5, None, "n"), (None, a, "null"), (6, "One two", "o"), (6, "one two", "o")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _cls string").withColumn("component", F.lit(9))
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, (r.text or "").lower(), r._cls, r.component) for r in kept.collect()), key=str)
+    assert got == sorted([(1, a, "x", 9), (1, b, "x", 9), (4, "alone here", "z", 9), (5, "", "n", 9), (5, "", "n", 9), (None, a, "null", 9), (6, "one two", "o", 9)], key=str)
+
+
 def test_histograms_bound_the_overlap():
     rng = np.random.default_rng(0)
     for n, m, both in ((10, 12, 9), (300, 280, 250), (5000, 900, 700), (1, 1, 0), (2000, 2000, 2000)):
