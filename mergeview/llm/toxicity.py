@@ -42,7 +42,7 @@ PRIOR = 20.0  # counts after a context that a class takes from the next lower or
 SHARED_ORDER = 2  # n-grams up to this size have one probability for both classes
 FIT_ROWS = 50_000  # labelled rows at most, those of smallest hash, for the logistic regression
 SEND_LABELS = 2_000_000  # labels up to which they are sent to the executors; beyond that they are joined by shuffle
-SEND_ENTRIES = 1 << 23  # log ratios up to which they are sent, 16 bytes each
+SEND_ENTRIES = 1 << 23  # log ratios up to which they are sent, 12 bytes each
 CHUNK = 3_000_000  # characters that a task looks at together
 HELD = 3_000_000  # different n-grams that a task gathers before it hands them on
 THRESHOLD = 0.3
@@ -51,6 +51,7 @@ BLANK = 32
 
 _rng = np.random.Generator(np.random.PCG64(20250311))
 PLACE_KEYS = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
+CONTEXT = PLACE_KEYS[14]  # tells a context from the same characters as an n-gram
 _lut: list[np.ndarray] = []
 
 
@@ -78,26 +79,22 @@ def characters(text: str) -> np.ndarray:
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h ^= h >> np.uint64(32)
+    h = h ^ h >> np.uint64(32)
     h *= PLACE_KEYS[15]
     return h ^ h >> np.uint64(29)
 
 
-def hashes(rows: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of `size` code points."""
-    n = len(rows) - size + 1
-    h = np.full(n, size, np.uint64)
-    for k in range(size):
-        h += rows[k : k + n] * PLACE_KEYS[k]
-    return _mixed(h)
+def run_sums(rows: np.ndarray, most: int) -> list[np.ndarray]:
+    """Item k: for each place that a run of k code points may end in, from the first on, what its hash is mixed from."""
+    out = [np.zeros(0, np.uint64), rows * PLACE_KEYS[0] + np.uint64(1)]
+    for k in range(2, most + 1):
+        out.append(out[-1][1:] + (rows[: len(rows) - k + 1] * PLACE_KEYS[k - 1] + np.uint64(1)))
+    return out
 
 
-def hashes_at(rows: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """Those of the runs that begin there."""
-    h = np.full(len(starts), size, np.uint64)
-    for k in range(size):
-        h += rows[starts + k] * PLACE_KEYS[k]
-    return _mixed(h)
+def hashes(rows: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of `size` code points."""
+    return _mixed(run_sums(rows, size)[size])
 
 
 def padded(c: np.ndarray) -> np.ndarray:
@@ -107,7 +104,8 @@ def padded(c: np.ndarray) -> np.ndarray:
 def all_hashes(c: np.ndarray) -> np.ndarray:
     """The different n-grams of every size up to ORDER that ratios() may ask for."""
     p = padded(c)
-    return np.unique(np.concatenate([hashes(p, size) for size in range(1, ORDER + 1)]))
+    every = [_mixed(x) for x in run_sums(p, ORDER)[1:]]
+    return np.unique(np.concatenate([*every, *(h ^ CONTEXT for h in every[SHARED_ORDER - 1 : -1])]))
 
 
 def fold(doc_id: Column) -> Column:
@@ -166,57 +164,65 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     return labelled.select("text", "toxic").mapInArrow(run, "g string, toxic long, ordinary long").groupBy("g").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def _interpolated(count: str, low: str, prior: float, after) -> Column:
-    """(max(c - D, 0) + (D * kinds + prior) * low) / (total + prior), after each context; low where that has no count."""
-    total, kinds = F.sum(count).over(after), F.sum((F.col(count) > 0).cast("int")).over(after)
-    return F.when(total > 0, (F.greatest(F.col(count) - DISCOUNT, F.lit(0.0)) + (DISCOUNT * kinds + prior) * F.col(low)) / (total + prior)).otherwise(F.col(low))
+def suffix_counts(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """s (each end of an n-gram), toxic, ordinary, both: what a Kneser-Ney model of that order counts.
 
-
-def _weight(count: str) -> Column:
-    """What a context leaves to the next lower order."""
-    return F.when(F.sum(count) > 0, (DISCOUNT * F.sum((F.col(count) > 0).cast("int")) + PRIOR) / (F.sum(count) + PRIOR)).otherwise(F.lit(1.0))
+    That is how often for whole n-grams and for those that begin with the blank before a word, as nothing else can
+    stand there; for all others before how many different characters.
+    """
+    ends = F.explode(F.sequence(F.lit(1), F.lit(order))).alias("k")
+    each = counts.select("g", "toxic", "ordinary", ends).select(F.expr("right(g, k)").alias("s"), F.expr(f"substring(g, {order} - k, if(k < {order}, 1, 0))").alias("before"), "toxic", "ordinary")
+    each = each.groupBy("s", "before").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    kinds = lambda c: F.sum((F.col(c) > 0).cast("long"))
+    each = each.groupBy("s").agg(*(F.sum(c).alias(f"whole_{c}") for c in ("toxic", "ordinary")), *(kinds(c).alias(f"kinds_{c}") for c in ("toxic", "ordinary")), F.count("*").alias("kinds_both"))
+    whole = F.col("s").startswith(" ") | (F.length("s") == order)
+    pick = lambda c: F.when(whole, F.col(f"whole_{c}")).otherwise(F.col(f"kinds_{c}")).alias(c)
+    both = F.when(whole, F.col("whole_toxic") + F.col("whole_ordinary")).otherwise(F.col("kinds_both")).alias("both")
+    return each.select("s", pick("toxic"), pick("ordinary"), both)
 
 
 def log_ratios(counts: DataFrame, saved: Saved, order: int = ORDER, shared_order: int = SHARED_ORDER) -> DataFrame:
-    """g (of any length up to order), ratio (log of toxic over ordinary probability of its last character after the others)
-    and weight (log of the classes' weights of the next lower order where what follows g is unseen)."""
-    tables = {order: counts.select("g", "toxic", "ordinary", (F.col("toxic") + F.col("ordinary")).alias("both"))}
-    whole = tables[order]  # with whole counts beside those that smooth
-    for k in range(order - 1, 0, -1):
-        # how many different characters stand before; at the start of a word, where a blank always does, how often
-        sums = [F.sum(c).alias(f"whole_{c}") for c in ("toxic", "ordinary")] if k == order - 1 else [F.sum(f"whole_{c}").alias(f"whole_{c}") for c in ("toxic", "ordinary")]
-        kinds = [F.sum((F.col(c) > 0).cast("long")).alias(f"kinds_{c}") for c in ("toxic", "ordinary")]
-        whole = whole.groupBy(F.expr("substring(g, 2)").alias("g")).agg(*sums, *kinds, F.count("*").alias("kinds_both"))
-        begins = F.col("g").startswith(" ")
-        whole = whole.select(
-            "g", "whole_toxic", "whole_ordinary", *(F.when(begins, F.col(f"whole_{c}")).otherwise(F.col(f"kinds_{c}")).alias(c) for c in ("toxic", "ordinary")),
-            F.when(begins, F.col("whole_toxic") + F.col("whole_ordinary")).otherwise(F.col("kinds_both")).alias("both"),
-        )
-        whole = saved.keep(whole)
-        tables[k] = whole.select("g", "toxic", "ordinary", "both")
-    total = tables[1].agg(F.sum("both")).first()[0] or 1
-    lower = tables[1].select("g", (F.col("both") / total).alias("p")).select("g", "p", F.col("p").alias("q"))
-    out = None
-    for k in range(1, order + 1):
-        if k > 1:
-            low = lower.select(F.col("g").alias("suffix"), F.col("p").alias("low_p"), F.col("q").alias("low_q"))
-            joined = tables[k].withColumn("suffix", F.expr("substring(g, 2)")).join(low, "suffix")
-            after = Window.partitionBy(F.expr(f"left(g, {k - 1})"))  # as many rows as characters that follow the context
-            p = _interpolated("toxic", "low_p", PRIOR, after) if k > shared_order else _interpolated("both", "low_p", 0.0, after)
-            q = _interpolated("ordinary", "low_q", PRIOR, after) if k > shared_order else p
-            lower = saved.keep(joined.select("g", p.alias("p"), q.alias("q")))
-        rows = lower.select("g", F.log(F.col("p") / F.col("q")).alias("ratio"))
-        if shared_order <= k < order:
-            weights = tables[k + 1].groupBy(F.expr(f"left(g, {k})").alias("g")).agg(F.log(_weight("toxic") / _weight("ordinary")).alias("weight"))
-            rows = rows.join(weights, "g", "left")
-        else:
-            rows = rows.withColumn("weight", F.lit(None).cast("double"))
-        out = rows if out is None else out.union(rows)
-    return out.select("g", "ratio", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    """g, context, value.  An n-gram of any size up to order has the log of toxic over ordinary probability of its last
+    character after the others; a context the log of the classes' weights of the next lower order, where what follows
+    it is unseen."""
+    import pyarrow as pa
+
+    spark = counts.sparkSession
+    tables = saved.keep(suffix_counts(counts, order))
+    first = tables.where(F.length("s") == 1).select("s", "both").toArrow()  # a row for each different character
+    total = sum(first["both"].to_pylist()) or 1
+    lowest = spark.sparkContext.broadcast({c: n / total for c, n in zip(first["s"].to_pylist(), first["both"].to_pylist())})
+
+    # own: what the count gives after its context; left: the context's weight of the next lower order
+    after = Window.partitionBy(F.expr("left(s, length(s) - 1)"))  # as many rows as characters that follow
+    shared = F.length("s") <= shared_order
+    parts = tables.where(F.length("s") > 1)
+    for c, name in (("toxic", "t"), ("ordinary", "o")):
+        n = F.when(shared, F.col("both")).otherwise(F.col(c))
+        prior = F.when(shared, F.lit(0.0)).otherwise(F.lit(PRIOR))
+        sums, kinds = F.sum(n).over(after), F.sum((n > 0).cast("int")).over(after)
+        parts = parts.withColumns({f"own_{name}": F.when(sums > 0, F.greatest(n - DISCOUNT, F.lit(0.0)) / (sums + prior)).otherwise(F.lit(0.0)), f"left_{name}": F.when(sums > 0, (DISCOUNT * kinds + prior) / (sums + prior)).otherwise(F.lit(1.0))})
+    parts = saved.keep(parts.select("s", F.expr("right(s, 2)").alias("end"), "own_t", "left_t", "own_o", "left_o"))
+
+    def chain(table: pa.Table) -> pa.Table:
+        """Probabilities from short to long: all ends of an n-gram that are longer than one character end in the same two."""
+        s, *numbers = (table[c].to_pylist() for c in ("s", "own_t", "left_t", "own_o", "left_o"))
+        p, base = {}, lowest.value
+        ratio = np.zeros(len(s))
+        for i in sorted(range(len(s)), key=lambda i: len(s[i])):
+            low_t, low_o = (base[s[i][1:]],) * 2 if len(s[i]) == 2 else p[s[i][1:]]
+            own_t, left_t, own_o, left_o = (x[i] for x in numbers)
+            p[s[i]] = t, o = own_t + left_t * low_t, own_o + left_o * low_o
+            ratio[i] = np.log(t / o)
+        return pa.table({"g": table["s"], "context": pa.array(np.zeros(len(s), bool)), "value": ratio})
+
+    ratios = parts.groupBy("end").applyInArrow(chain, "g string, context boolean, value double")
+    contexts = parts.where(F.length("s") > shared_order).groupBy(F.expr("left(s, length(s) - 1)").alias("g")).agg(F.first(F.log(F.col("left_t") / F.col("left_o"))).alias("value"))
+    return ratios.union(contexts.select("g", F.lit(True), "value"))
 
 
 def hashed(ratios: DataFrame, order: int = ORDER) -> DataFrame:
-    """h, ratio, weight: as texts look them up."""
+    """h, value: as texts look them up."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,21 +234,21 @@ def hashed(ratios: DataFrame, order: int = ORDER) -> DataFrame:
                 rows = np.frombuffer("".join(text[i] for i in at).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
                 if len(at):
                     h[at] = hashes(rows, size)[::size]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(1).cast(pa.float32()), batch.column(2).cast(pa.float32())], ["h", "ratio", "weight"])
+            h[batch.column(1).to_numpy(zero_copy_only=False)] ^= CONTEXT
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(2).cast(pa.float32())], ["h", "value"])
 
-    return ratios.select("g", "ratio", "weight").mapInArrow(run, "h long, ratio float, weight float")
+    return ratios.select("g", "context", "value").mapInArrow(run, "h long, value float")
 
 
 class Table:
-    """Hash -> log ratio and weight, over whole arrays."""
+    """Hash -> value, over whole arrays."""
 
-    def __init__(self, h: np.ndarray, ratio: np.ndarray, weight: np.ndarray):
+    def __init__(self, h: np.ndarray, value: np.ndarray):
         order = np.argsort(h, kind="stable")
-        none = np.float32(0)
-        self.h, self.ratio, self.weight = np.append(h[order], np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(ratio[order], none), np.append(weight[order], none)
+        self.h, self.value = np.append(h[order], np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(value[order], np.float32(0))
         bits = max(1, len(h).bit_length())
         self.shift = np.uint64(64 - bits)
-        self.first = np.searchsorted(self.h[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.first = np.searchsorted(self.h[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
 
     def at(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each hash stands, or would, and whether it does."""
@@ -253,22 +259,22 @@ class Table:
             late = late[self.h[at[late]] < h[late]]
         return at, self.h[at] == h
 
-    def ratios(self, p: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def ratios(self, own: list[np.ndarray], ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """For the n-grams of these sizes that end there: the log ratio of the longest end of each that was seen, and the
-        weights of the contexts passed on the way."""
+        weights of the contexts passed on the way.  own: the run_sums() of the text."""
         out, sizes = np.zeros(len(ends)), sizes.copy()
         for size in range(ORDER, 0, -1):
-            own = np.flatnonzero(sizes == size)
-            if not len(own):
+            k = np.flatnonzero(sizes == size)
+            if not len(k):
                 continue
-            starts = ends[own] - (size - 1)
-            at, found = self.at(hashes_at(p, starts, size))
-            out[own[found]] += self.ratio[at[found]]
-            own, starts = own[~found], starts[~found]
-            sizes[own] -= 1
-            if size > SHARED_ORDER and len(own):
-                at, found = self.at(hashes_at(p, starts, size - 1))  # the context: all but the last character
-                out[own[found]] += self.weight[at[found]]
+            last = ends[k] - (size - 1)  # where the run begins, which numbers them
+            at, found = self.at(_mixed(own[size][last]))
+            out[k[found]] += self.value[at[found]]
+            k, last = k[~found], last[~found]
+            sizes[k] -= 1
+            if size > SHARED_ORDER and len(k):
+                at, found = self.at(_mixed(own[size - 1][last]) ^ CONTEXT)  # all but the last character
+                out[k[found]] += self.value[at[found]]
         return out
 
 
@@ -288,10 +294,11 @@ def evidence(text: str, table: Table) -> tuple[float, ...]:
     blanks = np.flatnonzero(p[:-1] == BLANK)
     since = last - blanks[np.searchsorted(blanks, last - 1, "right") - 1]  # the last blank before it
     inside = np.minimum(since + 1, ORDER)
-    v = table.ratios(p, last, inside)
+    own = run_sums(p, ORDER)
+    v = table.ratios(own, last, inside)
     w = v.copy()
     reach = np.flatnonzero(inside < ORDER)  # the same with what the words before add
-    w[reach] = table.ratios(p, last[reach], np.full(len(reach), ORDER))
+    w[reach] = table.ratios(own, last[reach], np.full(len(reach), ORDER))
     ends = np.flatnonzero((c[1:] == BLANK) | _alone(c[1:]))  # a word ends with the blank after it
     starts = np.concatenate([[0], ends[:-1] + 1])
     sums, sizes = np.add.reduceat(v, starts), ends + 1 - starts
@@ -311,7 +318,7 @@ _tables: dict[str, Table] = {}
 
 
 def _features(rows: DataFrame, ratios: DataFrame, saved: Saved, extra: str) -> DataFrame:
-    """rows: the columns of `extra`, then text.  ratios: h, ratio, weight."""
+    """rows: the columns of `extra`, then text.  ratios: h, value."""
     import pyarrow as pa
 
     names = [*(x.split()[0] for x in extra.split(", ")), *(f"f{i}" for i in range(FEATURES))]
@@ -325,7 +332,7 @@ def _features(rows: DataFrame, ratios: DataFrame, saved: Saved, extra: str) -> D
     ratios = saved.keep(ratios)
     if ratios.count() <= SEND_ENTRIES:
         got = ratios.toArrow()
-        sent = rows.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, got["h"].to_numpy().view(np.uint64), got["ratio"].to_numpy(), got["weight"].to_numpy()))
+        sent = rows.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, got["h"].to_numpy().view(np.uint64), got["value"].to_numpy()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             name, *parts = sent.value
@@ -352,10 +359,10 @@ def _features(rows: DataFrame, ratios: DataFrame, saved: Saved, extra: str) -> D
                 h = np.unique(np.concatenate(found)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), chunk, np.int64)), pa.array(h)], ["_chunk", "h"])
 
-    answers = dealt.select("text", "_chunk").mapInArrow(ask, "_chunk long, h long").distinct().join(ratios, "h").select("_chunk", "h", "ratio", "weight")
+    answers = dealt.select("text", "_chunk").mapInArrow(ask, "_chunk long, h long").distinct().join(ratios, "h").select("_chunk", "h", "value")
 
     def answered(texts: pa.Table, known: pa.Table) -> pa.Table:
-        table = Table(known["h"].to_numpy().view(np.uint64), known["ratio"].to_numpy(), known["weight"].to_numpy())
+        table = Table(known["h"].to_numpy().view(np.uint64), known["value"].to_numpy())
         return pa.table(measured(texts["text"], [texts[c] for c in columns], table), names)
 
     return dealt.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(answered, schema)

@@ -395,13 +395,14 @@ def test_kneser_ney_ratios(spark):
     saved = Saved(spark)
     ratios = saved.keep(toxicity.log_ratios(got_counts, saved))
     rows = ratios.collect()
-    got = {r.g: r.ratio for r in rows}
-    assert len(rows) == len(got) and got.keys() == {g for x in level.values() for g in x}
+    got = {r.g: r.value for r in rows if not r.context}
+    assert len(rows) == len({(r.g, r.context) for r in rows}) and got.keys() == {g for x in level.values() for g in x if len(g) > 1}
+    assert {r.g for r in rows if r.context} == {g[:-1] for x in level.values() for g in x if len(g) > toxicity.SHARED_ORDER}
     for g in got:
         assert got[g] == pytest.approx(np.log(p(0, g) / p(1, g)), abs=1e-9)
     # a text's first number is the mean over its characters of the log ratio in their words, whether their n-grams were seen or not
     sent = toxicity.hashed(ratios).toArrow()
-    table = toxicity.Table(sent["h"].to_numpy().view(np.uint64), sent["ratio"].to_numpy(), sent["weight"].to_numpy())
+    table = toxicity.Table(sent["h"].to_numpy().view(np.uint64), sent["value"].to_numpy())
     for text in ("abab abcd", "漢字 тест", "zzz", "é9", "cdba bc", "漢cb"):
         words = [f" {w} " for w in characters_of(text).split()]
         each = [np.log(p(0, g) / p(1, g)) for g in (w[max(0, i - toxicity.ORDER + 1) : i + 1] for w in words for i in range(1, len(w)))]
