@@ -9,7 +9,7 @@ share backoff counts and cancel where neither class knows better.
 A text's evidence is the difference of its words' two log-likelihoods over its length; as one expression in a
 long text hardly moves that, the same over each of its words and pairs of words is looked at as well: the
 largest, the mean of the five largest of different words, the mean excess over one half, and the largest
-of a pair, whose second word's characters are judged after those of the first as well (in scripts without blanks a character is a word).  A logistic regression on labelled rows that the counts left out weighs these (and the length,
+of a pair, whose second word's first characters are judged after the first word as well (in scripts without blanks a character is a word).  A logistic regression on labelled rows that the counts left out weighs these (and the length,
 as a maximum grows with it); the scores then use counts that take in these rows as well.
 
 Characters are the text's own: letters and marks of any script in lower case, digits as one, all else as
@@ -36,17 +36,18 @@ from pyspark.sql import functions as F
 
 from mergeview.llm.tables import Saved
 
-ORDER = 6
+ORDER = 5
 DISCOUNT = 0.75
 PRIOR = 20.0  # counts after a context that a class takes from the next lower order
 SHARED_ORDER = 2  # n-grams up to this size have one probability for both classes
 FIT_ROWS = 50_000  # labelled rows at most, those of smallest hash, for the logistic regression
 SEND_LABELS = 2_000_000  # labels up to which they are sent to the executors; beyond that they are joined by shuffle
 SEND_ENTRIES = 1 << 23  # log ratios up to which they are sent, 12 bytes each
-CHUNK = 3_000_000  # characters that a task looks at together
+CHUNK = 2_000_000  # characters that a task looks at together
 HELD = 3_000_000  # different n-grams that a task gathers before it hands them on
 THRESHOLD = 0.3
 FEATURES = 6
+ACROSS = 2  # first characters of a word that are judged after the word before as well
 BLANK = 32
 
 _rng = np.random.Generator(np.random.PCG64(20250311))
@@ -241,23 +242,34 @@ def hashed(ratios: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 class Table:
-    """Hash -> value, over whole arrays."""
+    """Hash -> value, over whole arrays.  A slot holds the lower half of a hash beside the value; the upper bits say where it stands."""
 
     def __init__(self, h: np.ndarray, value: np.ndarray):
-        order = np.argsort(h, kind="stable")
-        self.h, self.value = np.append(h[order], np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(value[order], np.float32(0))
-        bits = max(1, len(h).bit_length())
-        self.shift = np.uint64(64 - bits)
-        self.first = np.searchsorted(self.h[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
-
-    def at(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each hash stands, or would, and whether it does."""
-        at = self.first[(h >> self.shift).astype(np.int64)]
-        late = np.flatnonzero(self.h[at] < h)
+        bits = max(4, (len(h) * 4 // 3).bit_length())
+        self.shift, self.mask, self.slots = np.uint64(64 - bits), (1 << bits) - 1, np.zeros(1 << bits, np.uint64)
+        entry = (h | np.uint64(1)) << np.uint64(32) | value.astype(np.float32).view(np.uint32)
+        at, left = (h >> self.shift).astype(np.int64), np.arange(len(h))
+        while len(left):  # the first of those that want a free slot takes it, the others go on to the next
+            free = left[self.slots[at[left]] == 0]
+            _, first = np.unique(at[free], return_index=True)
+            self.slots[at[free[first]]] = entry[free[first]]
+            left = left[self.slots[at[left]] != entry[left]]
+            at[left] = at[left] + 1 & self.mask
+
+    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, of any kind where there is none, and which were found."""
+        at = (h >> self.shift).astype(np.int64)
+        own = (h | np.uint64(1)) & np.uint64(0xFFFFFFFF)
+        got = self.slots[at]
+        found = got >> np.uint64(32) == own
+        late = np.flatnonzero(~found & (got != 0))
         while len(late):
-            at[late] += 1
-            late = late[self.h[at[late]] < h[late]]
-        return at, self.h[at] == h
+            at[late] = at[late] + 1 & self.mask
+            next_ = self.slots[at[late]]
+            hit = next_ >> np.uint64(32) == own[late]
+            got[late[hit]], found[late[hit]] = next_[hit], True
+            late = late[~hit & (next_ != 0)]
+        return got.astype(np.uint32).view(np.float32), found
 
     def ratios(self, own: list[np.ndarray], ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """For the n-grams of these sizes that end there: the log ratio of the longest end of each that was seen, and the
@@ -268,13 +280,13 @@ class Table:
             if not len(k):
                 continue
             last = ends[k] - (size - 1)  # where the run begins, which numbers them
-            at, found = self.at(_mixed(own[size][last]))
-            out[k[found]] += self.value[at[found]]
+            value, found = self.of(_mixed(own[size][last]))
+            out[k[found]] += value[found]
             k, last = k[~found], last[~found]
             sizes[k] -= 1
             if size > SHARED_ORDER and len(k):
-                at, found = self.at(_mixed(own[size - 1][last]) ^ CONTEXT)  # all but the last character
-                out[k[found]] += self.value[at[found]]
+                value, found = self.of(_mixed(own[size - 1][last]) ^ CONTEXT)  # all but the last character
+                out[k[found]] += value[found]
         return out
 
 
@@ -291,27 +303,27 @@ def evidence(text: str, table: Table) -> tuple[float, ...]:
         return (0.0,) * FEATURES
     p = padded(c)
     last = np.arange(ORDER - 1, len(p))  # where each character after the first blank stands
-    blanks = np.flatnonzero(p[:-1] == BLANK)
-    since = last - blanks[np.searchsorted(blanks, last - 1, "right") - 1]  # the last blank before it
-    inside = np.minimum(since + 1, ORDER)
+    places = np.arange(len(p))
+    blank = np.maximum.accumulate(np.where(p == BLANK, places, 0))  # the last one up to each place
+    inside = np.minimum(last - blank[last - 1] + 1, ORDER)
     own = run_sums(p, ORDER)
     v = table.ratios(own, last, inside)
     w = v.copy()
-    reach = np.flatnonzero(inside < ORDER)  # the same with what the words before add
+    reach = np.flatnonzero(inside <= ACROSS + 1)  # a word's first characters, with what the words before add
     w[reach] = table.ratios(own, last[reach], np.full(len(reach), ORDER))
     ends = np.flatnonzero((c[1:] == BLANK) | _alone(c[1:]))  # a word ends with the blank after it
     starts = np.concatenate([[0], ends[:-1] + 1])
     sums, sizes = np.add.reduceat(v, starts), ends + 1 - starts
     words = sums / sizes
-    place = np.arange(len(v)) - np.repeat(starts, sizes)
-    kinds = np.add.reduceat(c[1:].astype(np.uint64) * PLACE_KEYS[place % 15] * (place + 1).astype(np.uint64), starts)
-    top = np.zeros(5)
-    order = np.argsort(-words, kind="stable")  # the largest value of each different word
-    _, different = np.unique(kinds[order], return_index=True)
-    most = np.sort(words[order[different]])[::-1][:5]
-    top[: len(most)] = most
+    top, different = [], set()
+    for i in np.argsort(-words, kind="stable"):  # the largest of different words
+        if (word := c[1 + starts[i] : 1 + ends[i]].tobytes()) not in different:
+            different.add(word)
+            top.append(words[i])
+            if len(top) == 5:
+                break
     pairs = ((np.add.reduceat(w, starts)[1:] + sums[:-1]) / (sizes[1:] + sizes[:-1])).max() if len(words) > 1 else words[0]
-    return float(v.mean()), float(most[0]), float(top.mean()), float(np.maximum(words - 0.5, 0).mean()), float(pairs), float(np.log1p(len(v)))
+    return float(v.mean()), float(top[0]), float(sum(top) / 5), float(np.maximum(words - 0.5, 0).mean()), float(pairs), float(np.log1p(len(v)))
 
 
 _tables: dict[str, Table] = {}

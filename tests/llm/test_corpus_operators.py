@@ -409,7 +409,7 @@ def test_kneser_ney_ratios(spark):
         assert toxicity.evidence(text, table)[0] == pytest.approx(np.mean(each), abs=1e-5)
         if len(words) == 2 and text.isascii():  # the pair: the second word's characters after both words
             c, n = " " * (toxicity.ORDER - 2) + characters_of(text), len(words[0]) - 1
-            across = [np.log(p(0, g) / p(1, g)) for g in (c[i : i + toxicity.ORDER] for i in range(n, len(c) - toxicity.ORDER + 1))]
+            across = [np.log(p(0, g) / p(1, g)) for g in (c[i : i + toxicity.ORDER] for i in range(n, n + toxicity.ACROSS))] + each[n + toxicity.ACROSS :]
             assert toxicity.evidence(text, table)[4] == pytest.approx((sum(each[:n]) + sum(across)) / len(each), abs=1e-5)
 
 
