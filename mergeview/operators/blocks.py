@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergeview.functions.text import entry_size, shared_prefix
+from mergeview.operators.bloom import num_bits
 from mergeview.operators.folds import greedy_groups
-from mergeview.schemas import BLOCK_HEADER, BLOCK_LENGTH, INDEX_ENTRY, INDEX_HEADER
+from mergeview.schemas import BLOCK_HEADER, BLOCK_LENGTH, BLOOM_HEADER, FOOTER, INDEX_ENTRY, INDEX_HEADER
 
 
 def with_shared(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -17,21 +18,38 @@ def with_shared(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def packed(rows: DataFrame, by: list[str], target: int) -> DataFrame:
-    """rows (by, key, value) with block_id: a block is full once its entries reach the target."""
-    sized = rows.withColumn("size", entry_size(F.col("key"), F.col("value")))
-    groups = greedy_groups(sized, by, "key", "size", target, "block_id")
-    return groups
+    """rows (by, key, value) with shared, size (of the entry after the one before it), first (of an entry that begins a
+    block, which shares nothing) and block_id: a block is full once its header and entries reach the target."""
+    dealt = with_shared(rows.repartition(*by), by)
+    whole, delta = entry_size(F.col("key"), F.col("value")), entry_size(F.col("key"), F.col("value"), F.octet_length(F.expr("left(key, shared)")))
+    sized = dealt.withColumns({"size": delta, "first": whole})
+    return greedy_groups(sized, by, "key", "size", target, "block_id", first="first", start=BLOCK_HEADER, dealt=True)
+
+
+def block_stats(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """first_key, last_key, n and size of each block, its header included.  blocks: what packed() gives."""
+    entries = F.sum("size") + F.min_by(F.col("first") - F.col("size"), "key")
+    return blocks.groupBy(*by, "block_id").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count("*").alias("n"), (entries + BLOCK_HEADER).alias("size"))
 
 
 def sparse_index(blocks: DataFrame, by: list[str]) -> DataFrame:
-    """first_key, n, size and offset of each block."""
-    each = blocks.groupBy(*by, "block_id").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count("*").alias("n"), (F.sum("size") + BLOCK_HEADER).alias("size"))
+    """block_stats() with the offset of each block in its file; the index alone is sorted, not the entries."""
     before = Window.partitionBy(*by).orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1)
-    return each.withColumn("offset", F.coalesce(F.sum(F.col("size") + BLOCK_LENGTH).over(before), F.lit(0)))
+    return block_stats(blocks, by).withColumn("offset", F.coalesce(F.sum(F.col("size") + BLOCK_LENGTH).over(before), F.lit(0)))
+
+
+def file_sizes(index: DataFrame, by: list[str], bits_per_key: float = 10.0) -> DataFrame:
+    """blocks, n, index_offset, bloom_offset and file_size of each run.  index: what sparse_index() gives."""
+    entry = F.octet_length("first_key") + INDEX_ENTRY
+    each = index.groupBy(*by).agg(F.count("*").alias("blocks"), F.sum("n").alias("n"), F.sum(F.col("size") + BLOCK_LENGTH).alias("index_offset"), F.sum(entry).alias("entries"))
+    bloom_offset = F.col("index_offset") + INDEX_HEADER + F.col("entries")
+    filter_bytes = F.floor((num_bits(F.col("n"), bits_per_key) + 7) / 8)
+    return each.select(*by, "blocks", "n", "index_offset", bloom_offset.alias("bloom_offset"), (bloom_offset + BLOOM_HEADER + filter_bytes + FOOTER).cast("long").alias("file_size"))
 
 
-def index_size(index: DataFrame, by: list[str]) -> DataFrame:
-    return index.groupBy(*by).agg((F.lit(INDEX_HEADER) + F.sum(F.octet_length("first_key") + INDEX_ENTRY)).cast("long").alias("index_size"))
+def find(blocks: DataFrame, index: DataFrame, probes: DataFrame, by: list[str]) -> DataFrame:
+    """Entries of the probed keys: only the block that may hold a key is looked at.  probes: by, key."""
+    return blocks.join(floor_block(index, probes, by).where("block_id is not null"), [*by, "block_id", "key"], "left_semi")
 
 
 def floor_block(index: DataFrame, probes: DataFrame, by: list[str]) -> DataFrame:

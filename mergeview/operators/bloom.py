@@ -1,4 +1,4 @@
-"""Bloom filters with double hashing: sizes, rates, set bits, probes."""
+"""Bloom filters with double hashing: sizes from the number of keys, rates, packed words, probes."""
 
 from __future__ import annotations
 
@@ -18,20 +18,51 @@ def num_hashes(n: Column, m: Column) -> Column:
 
 
 def bits_per_key(rate: Column) -> Column:
-    """Bits for a false positive rate; null unless it lies between 0 and 1."""
-    return F.when((rate > 0) & (rate < 1), -F.log(rate) / F.pow(F.lit(0.6931471805599453), F.lit(2)))
+    """Bits for a false positive rate; an error unless it lies between 0 and 1."""
+    return F.when((rate > 0) & (rate < 1), -F.log(rate) / F.pow(F.lit(0.6931471805599453), F.lit(2))).otherwise(F.raise_error(F.lit("a rate lies between 0 and 1")).cast("double"))
 
 
 def theoretical_rate(n: Column, m: Column, k: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(F.pow(1 - F.exp(-k * n / m), k))
 
 
-def set_bits(keys: DataFrame, m: int, k: int, by: list[str] = ()) -> DataFrame:
-    """The set bits of the filter of each group of keys."""
-    return keys.select(*by, F.explode(hash_probes(F.col("key"), k, m)).alias("bit")).distinct()
+WORD = 32  # bits of a stored word
 
 
-def probe(bits: DataFrame, probes: DataFrame, m: int, k: int) -> DataFrame:
-    """key and maybe (all of its bits are set) for each different probe."""
-    asked = probes.select("key").distinct().select("key", F.explode(hash_probes(F.col("key"), k, m)).alias("bit"))
-    return asked.join(bits.select("bit", F.lit(True).alias("hit")), "bit", "left").groupBy("key").agg(F.bool_and(F.coalesce("hit", F.lit(False))).alias("maybe"))
+def sizes(keys: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, m and k: the filters' sizes from the numbers of their keys."""
+    n = keys.groupBy(*by).agg(F.count("*").alias("n")).withColumn("m", num_bits(F.col("n")))
+    return n.withColumn("k", num_hashes(F.col("n"), F.col("m")))
+
+
+def _bits(keys: DataFrame, m: Column | int, k: Column | int, *columns: str) -> DataFrame:
+    bits = keys.select(*columns, F.explode(hash_probes(F.col("key"), k, m)).alias("bit"))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % WORD).cast("int"))
+    return bits.select(*columns, F.floor(F.col("bit") / WORD).alias("word"), mask.alias("mask"))
+
+
+def words(keys: DataFrame, m: Column | int, k: Column | int, by: list[str] = ()) -> DataFrame:
+    """The filter of each group of keys as its words that have a bit set; bits meet before the shuffle."""
+    return _bits(keys, m, k, *by).groupBy(*by, "word").agg(F.bit_or("mask").alias("mask"))
+
+
+def probe(filters: DataFrame, probes: DataFrame, m: Column | int, k: Column | int, by: list[str] = ()) -> DataFrame:
+    """by, key and maybe (all of its bits are set) for each different probe.  m, k: as the filters', maybe columns of probes."""
+    asked = _bits(probes.distinct(), m, k, *by, "key").withColumnRenamed("mask", "asked")
+    hit = F.coalesce(F.col("mask").bitwiseAND(F.col("asked")) != 0, F.lit(False))
+    return asked.join(filters, [*by, "word"], "left").groupBy(*by, "key").agg(F.bool_and(hit).alias("maybe"))
+
+
+def stored(filters: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
+    """by, m, k and the filter's bytes, words in order.  A filter is as large as its run's share of bits."""
+    held = filters.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("words")).join(sizes, by)
+    every = F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / WORD))
+    bytes_ = F.unhex(F.array_join(F.transform(every, lambda w: F.lpad(F.hex(F.coalesce(F.try_element_at(F.col("words"), w), F.lit(0).cast("long"))), WORD // 4, "0")), ""))
+    return held.select(*by, "m", "k", bytes_.alias("bytes"))
+
+
+def loaded(stored: DataFrame, by: list[str]) -> DataFrame:
+    """The words with a bit set in stored filters."""
+    w = F.posexplode(F.regexp_extract_all(F.hex("bytes"), F.lit(f"(.{{{WORD // 4}}})"), F.lit(1)))
+    each = stored.select(*by, w.alias("word", "hex"))
+    return each.select(*by, F.col("word").cast("long").alias("word"), F.conv("hex", 16, 10).cast("long").alias("mask")).where("mask <> 0")

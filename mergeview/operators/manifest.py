@@ -28,5 +28,30 @@ def overlapping(runs: DataFrame, low: Column, high: Column) -> DataFrame:
     return runs.where((F.col("min_key") <= high) & (low <= F.col("max_key")))
 
 
-def overlaps(a: DataFrame, b: DataFrame) -> Column:
-    return (a["min_key"] <= b["max_key"]) & (b["min_key"] <= a["max_key"])
+def summary(runs: DataFrame, base: int = BASE_SIZE, shown: int = 3) -> DataFrame:
+    """level, n_runs, total_size and size_limit; the first levels are shown even if they are empty."""
+    levels = runs.sparkSession.range(shown).select(F.col("id").cast("int").alias("level"))
+    zero = F.lit(0).cast("long")
+    return levels.join(level_stats(runs), "level", "full").select("level", F.coalesce("n_runs", zero).alias("n_runs"), F.coalesce("total_size", zero).alias("total_size"), level_limit(F.col("level"), base).alias("size_limit"))
+
+
+def edits(added: DataFrame, removed: DataFrame) -> DataFrame:
+    """version, run_id, live: the log of changes.  added, removed: version, run_id."""
+    return added.select("version", "run_id", F.lit(True).alias("live")).union(removed.select("version", "run_id", F.lit(False)))
+
+
+def snapshot(edits: DataFrame, version: int | None = None) -> DataFrame:
+    """run_id of the runs that are live as of a version, or now."""
+    upto = edits if version is None else edits.where(F.col("version") <= version)
+    return upto.groupBy("run_id").agg(F.max_by("live", "version").alias("live")).where("live").select("run_id")
+
+
+JSON = "run_id BIGINT, level INT, num_entries BIGINT, min_key STRING, max_key STRING, file_size BIGINT"
+
+
+def to_json(runs: DataFrame) -> DataFrame:
+    return runs.select("run_id", F.to_json(F.struct("run_id", "level", "num_entries", "min_key", "max_key", "file_size")).alias("json"))
+
+
+def from_json(rows: DataFrame) -> DataFrame:
+    return rows.select(F.from_json("json", JSON).alias("x")).select("x.*")

@@ -1,7 +1,7 @@
 """Registry of the engine's queries and of the SQL that must give the same rows.
 
-Each query derives its change log, runs and segments from the given tables by expression, so that both
-sides start from the same rows.
+Each query derives its change log and segments from the given tables by expression, so that both sides start
+from the same rows.  Runs are written once for each session and table folder, and read from their files.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from mergeview.functions import hashing
 from mergeview.functions.hashing import hash_probes, murmur3_32
-from mergeview.functions.text import entry_size
 from mergeview.operators import blocks, bloom, compaction, folds, manifest, resolve
-from mergeview.schemas import BLOOM_HEADER, FOOTER, ROW_OVERHEAD
+from mergeview.schemas import BLOCK_HEADER, BLOCK_LENGTH, BLOOM_HEADER, FOOTER, INDEX_ENTRY, INDEX_HEADER, ROW_OVERHEAD
 from mergeview.sources import changelog as cl
+from mergeview.sources import runs as run_files
 from mergeview.sources import wal
+from mergeview.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,7 +32,8 @@ CTES = {
     "rundata": "rundata AS (SELECT seq // 1000 AS run_id, seq, op, key, value FROM (SELECT *, row_number() OVER (PARTITION BY seq // 1000, key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1)",
     "runs": "runs AS (SELECT run_id, CAST(run_id % 3 AS INTEGER) AS level, count(*) AS num_entries, min(key) AS min_key, max(key) AS max_key, CAST(sum(strlen(key) + strlen(value) + 8) AS BIGINT) AS file_size, min(seq) AS min_seq, max(seq) AS max_seq FROM rundata GROUP BY run_id)",
     "levels": "levels AS (SELECT level, count(*) AS n_runs, CAST(sum(file_size) AS BIGINT) AS total_size, CASE WHEN level = 0 THEN 0 ELSE CAST(5000 * power(10, level - 1) AS BIGINT) END AS size_limit FROM runs GROUP BY level)",
-    "probes": "probes AS (SELECT DISTINCT printf('user_%06d', c_custkey) AS key FROM customer WHERE c_custkey % 7 = 0)",
+    "probes": "probes AS (SELECT DISTINCT printf('user_%06d', c_custkey) AS key FROM customer)",
+    "sold": "sold AS (SELECT DISTINCT printf('user_%06d', c_custkey) AS key FROM customer WHERE c_acctbal < 0)",
     "bulk": "bulk AS (SELECT printf('order_%010d', o_orderkey) AS key, o_orderstatus AS value, o_orderkey // 5000 AS run_id FROM orders)",
     "urls": "urls AS (SELECT url AS key, substr(url, 1, 20) AS grp FROM (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL))",
 }
@@ -76,21 +78,51 @@ def _segs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cl.segments(_log(spark, sf_dir))
 
 
+_STORES: dict[tuple, run_files.RunStore | str] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, kind: str, make):
+    """What make() writes, once for each session, folder of tables and kind."""
+    at = (spark.sparkContext.applicationId, sf_dir, kind)
+    if at not in _STORES:
+        _STORES[at] = make()
+    return _STORES[at]
+
+
+def _new_store(spark: SparkSession, sf_dir: str) -> run_files.RunStore:
+    store = run_files.RunStore(spark)
+    store.add(cl.run_data(_log(spark, sf_dir)).withColumn("level", (F.col("run_id") % cl.LEVELS).cast("int")))
+    return store
+
+
+def _store(spark: SparkSession, sf_dir: str) -> run_files.RunStore:
+    """The log's runs, in levels that go round."""
+    return _once(spark, sf_dir, "log", lambda: _new_store(spark, sf_dir))
+
+
 def _rundata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cl.run_data(_log(spark, sf_dir)).select("run_id", "seq", "op", "key", "value")
+    return _store(spark, sf_dir).data()
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cl.run_meta(_rundata(spark, sf_dir))
+    return _store(spark, sf_dir).runs()
 
 
-def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 7 = 0").select(F.format_string("user_%06d", "c_custkey").alias("key")).distinct()
+def _probes(spark: SparkSession, sf_dir: str, some: str = "true") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").where(some).select(F.format_string("user_%06d", "c_custkey").alias("key")).distinct()
 
 
 def _bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return o.select(F.format_string("order_%010d", "o_orderkey").alias("key"), F.col("o_orderstatus").alias("value"), F.floor(F.col("o_orderkey") / 5000).alias("run_id"))
+    """The orders as one sorted run."""
+
+    def make() -> str:
+        path = run_files.new_folder(spark)
+        o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+        rows = o.select(F.format_string("order_%010d", "o_orderkey").alias("key"), F.col("o_orderstatus").alias("value"), F.floor(F.col("o_orderkey") / 5000).alias("run_id"))
+        run_files.write_run(rows, path)
+        return path
+
+    return run_files.read_run(spark, _once(spark, sf_dir, "bulk", make), "key string, value string, run_id bigint")
 
 
 def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,11 +152,29 @@ def _(spark, d):
     return wal.appended(_segs(spark, d)).groupBy("segment_id").agg(F.sum("frame_size").alias("bytes"))
 
 
-@query("wal_crc")
+_bytes_of = lambda x: f"list_transform(range(0, strlen({x})), lambda i: ('0x' || substr(hex(encode({x})), CAST(2 * i + 1 AS BIGINT), 2))::BIGINT)"
+_le32 = lambda n: f"[{n} % 256, {n} // 256 % 256, {n} // 65536 % 256, {n} // 16777216]"
+
+
+@query(
+    "wal_crc", "segs",
+    ", rec AS (SELECT segment_id, lsn, op, key, CASE WHEN op = 2 THEN '' ELSE value END AS v FROM segs), "
+    f"b AS (SELECT segment_id, lsn, list_concat({_le32('strlen(key)')}, {_le32('strlen(v)')}, [op::BIGINT], {_bytes_of('key')}, {_bytes_of('v')})::BIGINT[] AS b FROM rec) "
+    "SELECT segment_id, lsn, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END)), 4294967295::BIGINT) AS crc FROM b",
+)
 def _(spark, d):
     return wal.appended(_segs(spark, d)).select("segment_id", "lsn", "crc")
 
 
+@query("wal_replay_binary", "segs", "SELECT segment_id, lsn, op, key, CASE WHEN op = 2 THEN '' ELSE value END AS payload FROM segs WHERE segment_id % 2 = 0 OR lsn < 100")
+def _(spark, d):
+    """Segments as bytes, read back.  Each ends in a torn record, and in every other one the first byte of record 100 is damaged."""
+    rows = wal.appended(_segs(spark, d))
+    damaged = rows.withColumn("crc", F.when((F.col("segment_id") % 2 == 1) & (F.col("lsn") == 100), F.col("crc").bitwiseXOR(F.lit(255))).otherwise(F.col("crc")))
+    segments = wal.framed(damaged).withColumn("content", F.concat("content", F.unhex(F.lit("000102"))))
+    return wal.replayed(segments, "segment_id").select("segment_id", "lsn", "op", "key", F.col("value").cast("string").alias("payload"))
+
+
 @query("wal_truncate", "segs", "SELECT segment_id, lsn, key FROM segs WHERE segment_id % 3 <> 0")
 def _(spark, d):
     records = _segs(spark, d)
@@ -186,14 +236,14 @@ def _(spark, d):
 _write = "length(key) + strlen(CASE WHEN op = 2 THEN '' ELSE value END) + 64"
 
 
-def _sized(rows: DataFrame) -> DataFrame:
+def _write_sizes(rows: DataFrame) -> DataFrame:
     return rows.withColumn("size", (F.length("key") + F.when(F.col("op") == 2, 0).otherwise(F.octet_length("value")) + ROW_OVERHEAD).cast("long"))
 
 
 @query("memtable_bytes", "segs", f"SELECT segment_id, lsn, CAST(sum({_write}) OVER (PARTITION BY segment_id ORDER BY lsn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS bytes FROM segs")
 def _(spark, d):
     upto = Window.partitionBy("segment_id").orderBy("lsn").rowsBetween(Window.unboundedPreceding, 0)
-    return _sized(_segs(spark, d)).select("segment_id", "lsn", F.sum("size").over(upto).alias("bytes"))
+    return _write_sizes(_segs(spark, d)).select("segment_id", "lsn", F.sum("size").over(upto).alias("bytes"))
 
 
 @query("flush_due", "segs", f"SELECT segment_id, min(lsn) AS due_at FROM (SELECT segment_id, lsn, sum({_write}) OVER (PARTITION BY segment_id ORDER BY lsn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bytes FROM segs) WHERE bytes >= {FLUSH_LIMIT} GROUP BY segment_id")
@@ -201,12 +251,13 @@ def _(spark, d):
     return QUERIES["memtable_bytes"](spark, d).where(F.col("bytes") >= FLUSH_LIMIT).groupBy("segment_id").agg(F.min("lsn").alias("due_at"))
 
 
-def _fold_sql(source: str, by: str, order: str, size: str, limit: int, group: str, columns: str) -> str:
-    """The greedy fold as a recursion over row numbers, beginning anew in each sequence."""
+def _fold_sql(source: str, by: str, order: str, size: str, limit: int, group: str, columns: str, first: str | None = None, start: int = 0) -> str:
+    """The greedy fold as a recursion over row numbers, beginning anew in each sequence.  c: what a row adds to its group."""
+    full = f"f.acc >= {limit}"
     return (
-        f", numbered AS (SELECT {by} AS b, {order} AS o, CAST({size} AS BIGINT) AS s, row_number() OVER (PARTITION BY {by} ORDER BY {order}) AS rn FROM {source}), "
-        f"fold AS (SELECT b, o, s, rn, 0::BIGINT AS g, CASE WHEN s >= {limit} THEN 0::BIGINT ELSE s END AS acc, CASE WHEN s >= {limit} THEN 1::BIGINT ELSE 0::BIGINT END AS nxt FROM numbered WHERE rn = 1 "
-        f"UNION ALL SELECT n.b, n.o, n.s, n.rn, f.nxt AS g, CASE WHEN f.acc + n.s >= {limit} THEN 0::BIGINT ELSE f.acc + n.s END, CASE WHEN f.acc + n.s >= {limit} THEN f.nxt + 1 ELSE f.nxt END FROM fold f JOIN numbered n ON n.b = f.b AND n.rn = f.rn + 1) "
+        f", numbered AS (SELECT {by} AS b, {order} AS o, CAST({size} AS BIGINT) AS s, CAST({first or size} AS BIGINT) AS first, row_number() OVER (PARTITION BY {by} ORDER BY {order}) AS rn FROM {source}), "
+        f"fold AS (SELECT b, o, first AS c, rn, 0::BIGINT AS g, {start} + first AS acc FROM numbered WHERE rn = 1 "
+        f"UNION ALL SELECT n.b, n.o, CASE WHEN {full} THEN n.first ELSE n.s END, n.rn, CASE WHEN {full} THEN f.g + 1 ELSE f.g END, CASE WHEN {full} THEN {start} + n.first ELSE f.acc + n.s END FROM fold f JOIN numbered n ON n.b = f.b AND n.rn = f.rn + 1) "
         f"SELECT b AS {by}, g AS {group}, {columns} FROM fold GROUP BY b, g"
     )
 
@@ -217,11 +268,21 @@ def _recursive(name: str, ctes: str, sql: str) -> None:
 
 @query("flush_generations")
 def _(spark, d):
-    g = folds.greedy_groups(_sized(_segs(spark, d)).select("segment_id", "lsn", "size"), ["segment_id"], "lsn", "size", FLUSH_LIMIT, "generation")
+    g = folds.greedy_groups(_write_sizes(_segs(spark, d)).select("segment_id", "lsn", "size"), ["segment_id"], "lsn", "size", FLUSH_LIMIT, "generation")
     return g.groupBy("segment_id", "generation").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
-_recursive("flush_generations", "segs", _fold_sql("segs", "segment_id", "lsn", _write, FLUSH_LIMIT, "generation", "count(*) AS n, CAST(sum(s) AS BIGINT) AS bytes"))
+_recursive("flush_generations", "segs", _fold_sql("segs", "segment_id", "lsn", _write, FLUSH_LIMIT, "generation", "count(*) AS n, CAST(sum(c) AS BIGINT) AS bytes"))
+
+
+@query("streaming_flush", "latest", "SELECT key, value, seq FROM latest WHERE op = 1")
+def _(spark, d):
+    """The events as a stream, each micro-batch flushed as a run, and the state that the runs amount to."""
+    events, base = f"{d}/events.parquet", run_files.new_folder(spark)
+    files = spark.readStream.schema(spark.read.parquet(events).schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = cl.changelog(files)
+    ingest.start_ingest(stream, f"{base}/runs", f"{base}/checkpoint").awaitTermination()
+    return ingest.state(spark, f"{base}/runs").select("key", "value", "seq")
 
 
 @query("tombstones", "latest", "SELECT key, seq FROM latest WHERE op = 2")
@@ -236,7 +297,7 @@ def _(spark, d):
 
 @query("point_get", "latest", "SELECT key, value FROM latest WHERE op = 1 AND key = 'user_000007'")
 def _(spark, d):
-    return resolve.visible(resolve.latest_wins(_log(spark, d).where("key = 'user_000007'"))).select("key", "value")
+    return resolve.visible(resolve.latest_wins(_store(spark, d).versions_of(["user_000007"]))).select("key", "value")
 
 
 @query("contains", "latest probes", "SELECT key FROM probes WHERE key IN (SELECT key FROM latest WHERE op = 1)")
@@ -254,9 +315,10 @@ def _(spark, d):
     return _log(spark, d).where("op = 1").groupBy("key").agg(F.max_by("value", "seq").alias("value"), F.count("*").alias("n_writes"))
 
 
-@query("physical_delete", "latest probes", "SELECT key, value FROM latest WHERE key NOT IN (SELECT key FROM probes)")
+@query("physical_delete", "latest sold", "SELECT key, value FROM latest WHERE key NOT IN (SELECT key FROM sold)")
 def _(spark, d):
-    return resolve.physical_delete(_latest(spark, d), _probes(spark, d)).select("key", "value")
+    """Without the keys of customers who owe."""
+    return resolve.physical_delete(_latest(spark, d), _probes(spark, d, "c_acctbal < 0")).select("key", "value")
 
 
 @query("min_max_key", "latest", "SELECT min(key) AS min_key, max(key) AS max_key FROM latest")
@@ -290,22 +352,28 @@ def _blocks(spark, d):
 
 
 _entry = "strlen(key) + strlen(value) + 8"
+_shared = f", before AS (SELECT *, lag(key) OVER (PARTITION BY run_id ORDER BY key) AS prev FROM rundata), cut AS (SELECT *, strlen(substr(key, 1 + CAST({_prefix_sql} AS BIGINT))) + strlen(value) + 8 AS delta FROM before)"
+
+
+def _block_sql(columns: str) -> str:
+    return _shared + _fold_sql("cut", "run_id", "key", "delta", PACK_LIMIT, "block_id", columns, first=_entry, start=BLOCK_HEADER)
 
 
 @query("block_pack")
 def _(spark, d):
-    return _blocks(spark, d).groupBy("run_id", "block_id").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    """A block's first entry holds its whole key, the others what they don't share with the one before."""
+    return blocks.block_stats(_blocks(spark, d), ["run_id"]).select("run_id", "block_id", "n", (F.col("size") - BLOCK_HEADER).alias("bytes"))
 
 
-_recursive("block_pack", "rundata", _fold_sql("rundata", "run_id", "key", _entry, PACK_LIMIT, "block_id", "count(*) AS n, CAST(sum(s) AS BIGINT) AS bytes"))
+_recursive("block_pack", "rundata", _block_sql("count(*) AS n, CAST(sum(c) AS BIGINT) AS bytes"))
 
 
 @query("block_stats")
 def _(spark, d):
-    return _blocks(spark, d).groupBy("run_id", "block_id").agg(F.count("*").alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"), (F.sum("size") + 4).alias("size"), (F.sum("size") >= PACK_LIMIT).alias("is_full"))
+    return blocks.block_stats(_blocks(spark, d), ["run_id"]).select("run_id", "block_id", "n", "first_key", "last_key", "size", (F.col("size") >= PACK_LIMIT).alias("is_full"))
 
 
-_recursive("block_stats", "rundata", _fold_sql("rundata", "run_id", "key", _entry, PACK_LIMIT, "block_id", f"count(*) AS n, min(o) AS first_key, max(o) AS last_key, CAST(sum(s) + 4 AS BIGINT) AS size, sum(s) >= {PACK_LIMIT} AS is_full"))
+_recursive("block_stats", "rundata", _block_sql(f"count(*) AS n, min(o) AS first_key, max(o) AS last_key, CAST(sum(c) + {BLOCK_HEADER} AS BIGINT) AS size, sum(c) + {BLOCK_HEADER} >= {PACK_LIMIT} AS is_full"))
 
 
 @query("sparse_index")
@@ -313,22 +381,29 @@ def _(spark, d):
     return blocks.sparse_index(_blocks(spark, d), ["run_id"]).select("run_id", "block_id", "first_key", "n", "size", "offset")
 
 
-_recursive(
-    "sparse_index", "rundata",
-    ", each AS (" + _fold_sql("rundata", "run_id", "key", _entry, PACK_LIMIT, "block_id", "count(*) AS n, min(o) AS first_key, CAST(sum(s) + 4 AS BIGINT) AS size").replace(", numbered AS", "WITH RECURSIVE numbered AS", 1)
-    + ") SELECT run_id, block_id, first_key, n, size, CAST(coalesce(sum(size + 4) OVER (PARTITION BY run_id ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM each",
-)
+_each_block = ", each AS (" + _block_sql(f"count(*) AS n, min(o) AS first_key, CAST(sum(c) + {BLOCK_HEADER} AS BIGINT) AS size").replace(", before AS", "WITH RECURSIVE before AS", 1) + ")"
+_recursive("sparse_index", "rundata", f"{_each_block} SELECT run_id, block_id, first_key, n, size, CAST(coalesce(sum(size + {BLOCK_LENGTH}) OVER (PARTITION BY run_id ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM each")
 
 
-@query("run_file_size", "rundata", f"SELECT run_id, CAST({FOOTER} + {BLOOM_HEADER} + (greatest(64, count(*) * 10) + 7) // 8 + sum({_entry}) AS BIGINT) AS least_size FROM rundata GROUP BY run_id")
+@query("run_file_size")
 def _(spark, d):
-    each = _rundata(spark, d).groupBy("run_id").agg(F.count("*").alias("n"), F.sum(entry_size(F.col("key"), F.col("value"))).alias("entries"))
-    return each.select("run_id", (F.lit(FOOTER + BLOOM_HEADER) + F.floor((bloom.num_bits(F.col("n")) + 7) / 8) + F.col("entries")).cast("long").alias("least_size"))
+    """Blocks, then the index, the filter and the footer."""
+    return blocks.file_sizes(blocks.sparse_index(_blocks(spark, d), ["run_id"]), ["run_id"]).select("run_id", "blocks", "index_offset", "bloom_offset", "file_size")
+
+
+_recursive(
+    "run_file_size", "rundata",
+    f"{_each_block}, sums AS (SELECT run_id, count(*) AS blocks, CAST(sum(size + {BLOCK_LENGTH}) AS BIGINT) AS index_offset, CAST(sum(strlen(first_key) + {INDEX_ENTRY}) + {INDEX_HEADER} AS BIGINT) AS index_size, CAST(sum(n) AS BIGINT) AS n FROM each GROUP BY run_id) "
+    f"SELECT run_id, blocks, index_offset, index_offset + index_size AS bloom_offset, CAST(index_offset + index_size + {BLOOM_HEADER} + (greatest(64, n * 10) + 7) // 8 + {FOOTER} AS BIGINT) AS file_size FROM sums",
+)
 
 
 @query("block_find", "rundata", "SELECT run_id, key, seq, op FROM rundata WHERE key = 'user_000011'")
 def _(spark, d):
-    return _rundata(spark, d).where("key = 'user_000011'").select("run_id", "key", "seq", "op")
+    """In each run the one block that may hold the key."""
+    packed = _blocks(spark, d)
+    probes = _runs(spark, d).select("run_id", F.lit("user_000011").alias("key"))
+    return blocks.find(packed, blocks.sparse_index(packed, ["run_id"]), probes, ["run_id"]).select("run_id", "key", "seq", "op")
 
 
 # --- runs ---
@@ -393,14 +468,17 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("i"), F.round(bloom.bits_per_key(1.0 / (F.col("c_custkey") + 2)), 9).alias("bits_per_key"))
 
 
-@query("bloom_stats", "rundata", "SELECT run_id, count(*) AS n, CAST(greatest(64, count(*) * 10) AS BIGINT) AS m FROM rundata GROUP BY run_id")
+_sizes = "SELECT run_id, count(*) AS n, CAST(greatest(64, count(*) * 10) AS BIGINT) AS m, CAST(greatest(1, round_even(greatest(64, count(*) * 10)::DOUBLE / count(*) * 0.6931471805599453, 0)) AS INTEGER) AS k FROM rundata GROUP BY run_id"
+
+
+@query("bloom_stats", "rundata", _sizes)
 def _(spark, d):
-    return _rundata(spark, d).groupBy("run_id").agg(F.count("*").alias("n")).select("run_id", "n", bloom.num_bits(F.col("n")).alias("m"))
+    return bloom.sizes(_rundata(spark, d), ["run_id"])
 
 
-@query("bloom_theoretical_fpr", "rundata", "SELECT run_id, round(power(1 - exp(-7.0::DOUBLE * count(*) / greatest(64, count(*) * 10)), 7), 12) AS rate FROM rundata GROUP BY run_id")
+@query("bloom_theoretical_fpr", "rundata", f"SELECT run_id, round(power(1 - exp(-k::DOUBLE * n / m), k), 12) AS rate FROM ({_sizes})")
 def _(spark, d):
-    return QUERIES["bloom_stats"](spark, d).select("run_id", F.round(bloom.theoretical_rate(F.col("n"), F.col("m"), F.lit(7.0)), 12).alias("rate"))
+    return QUERIES["bloom_stats"](spark, d).select("run_id", F.round(bloom.theoretical_rate(F.col("n"), F.col("m"), F.col("k").cast("double")), 12).alias("rate"))
 
 
 def _murmur_sql(source: str) -> str:
@@ -443,55 +521,88 @@ def _(spark, d):
 
 
 ORACLES["hash_probes"] = _hashed("latest", "latest") + f"SELECT key, array_to_string({_probe_list(7, 128)}, ',') AS probes FROM hashed"
-ORACLES["bloom_build"] = _hashed("rundata", "rundata") + f"SELECT DISTINCT run_id, unnest({_probe_list(7, 2048)}) AS bit FROM rundata JOIN hashed USING (key)"
-ORACLES["bloom_empirical_fpr"] = (
-    "WITH words AS (SELECT printf('member_%d', i) AS key FROM range(0, 2000) t(i) UNION ALL SELECT printf('nonmember_%d', i) FROM range(0, 2000) t(i)), " + _murmur_sql("words")
-    + f", bits AS (SELECT DISTINCT unnest({_probe_list(7, 20000)}) AS bit FROM hashed WHERE key LIKE 'member%'), asked AS (SELECT key, unnest({_probe_list(7, 20000)}) AS bit FROM hashed WHERE key LIKE 'nonmember%'), "
-    "hits AS (SELECT key, bool_and(bit IN (SELECT bit FROM bits)) AS maybe FROM asked GROUP BY key) SELECT count(*) AS trials, CAST(sum(CASE WHEN maybe THEN 1 ELSE 0 END) AS BIGINT) AS false_positives FROM hits"
-)
+_run_bits = f", sizes AS ({_sizes}), bits AS (SELECT DISTINCT run_id, unnest(list_transform(range(0, k), lambda i: (a + i * b) % m)) AS bit FROM rundata JOIN hashed USING (key) JOIN sizes USING (run_id))"
+
+
+def _sized(spark, d, rows: DataFrame) -> DataFrame:
+    """rows of runs with m and k; the table of runs is small."""
+    return rows.join(F.broadcast(bloom.sizes(_rundata(spark, d), ["run_id"])), "run_id")
+
+
+def _filters(spark, d) -> DataFrame:
+    return bloom.words(_sized(spark, d, _rundata(spark, d)), F.col("m"), F.col("k"), ["run_id"])
 
 
 @query("bloom_build")
 def _(spark, d):
-    return bloom.set_bits(_rundata(spark, d), 2048, 7, ["run_id"])
+    """The filter of each run, as large as its number of keys asks for, as words of 32 bits."""
+    return _filters(spark, d)
+
 
+ORACLES["bloom_build"] = _hashed("rundata", "rundata") + _run_bits + " SELECT run_id, bit // 32 AS word, bit_or(1::BIGINT << (bit % 32)) AS mask FROM bits GROUP BY ALL"
 
-@query("bloom_probe", "latest probes", "SELECT key, true AS found FROM probes WHERE key IN (SELECT key FROM latest)")
+
+@query("bloom_probe")
 def _(spark, d):
-    """Filter, then check: the filter alone may say yes too often, never no too often."""
+    """What the filter of all keys says to each probe, wrong yeses included."""
     keys = _latest(spark, d)
-    maybe = bloom.probe(bloom.set_bits(keys, 1 << 14, 7), _probes(spark, d), 1 << 14, 7).where("maybe")
-    return maybe.join(keys, "key", "left_semi").select("key", F.lit(True).alias("found"))
+    size = bloom.sizes(keys, []).first()
+    return bloom.probe(bloom.words(keys, size["m"], size["k"]), _probes(spark, d), size["m"], size["k"])
 
 
-@query("run_bloom_probe", "rundata probes", "SELECT DISTINCT r.run_id AS run_id, p.key AS key FROM probes p JOIN rundata r ON p.key = r.key")
+_asked = "SELECT key FROM latest UNION SELECT key FROM probes"
+ORACLES["bloom_probe"] = (
+    _hashed("latest probes", f"({_asked})") + ", size AS (SELECT greatest(64, count(*) * 10) AS m, CAST(greatest(1, round_even(greatest(64, count(*) * 10)::DOUBLE / greatest(count(*), 1) * 0.6931471805599453, 0)) AS BIGINT) AS k FROM latest), "
+    "each AS (SELECT key, unnest(list_transform(range(0, k), lambda i: (a + i * b) % m)) AS bit FROM hashed, size), bits AS (SELECT DISTINCT bit FROM each WHERE key IN (SELECT key FROM latest)) "
+    "SELECT key, bool_and(bit IN (SELECT bit FROM bits)) AS maybe FROM each WHERE key IN (SELECT key FROM probes) GROUP BY key"
+)
+
+
+@query("run_bloom_probe")
 def _(spark, d):
-    data, probes = _rundata(spark, d), _probes(spark, d)
-    bits = bloom.set_bits(data, 4096, 7, ["run_id"])
-    asked = probes.select("key", F.explode(hash_probes(F.col("key"), 7, 4096)).alias("bit")).distinct()
-    needed = asked.groupBy("key").agg(F.count("*").alias("needed"))
-    passed = asked.join(bits, "bit").groupBy("run_id", "key").agg(F.count("*").alias("n")).join(needed, "key").where("n = needed")
-    return passed.select("run_id", "key").join(data, ["run_id", "key"], "left_semi")
+    """What the filters say of each probe in the runs whose key range it lies in."""
+    ranges = F.broadcast(_runs(spark, d).select("run_id", "min_key", "max_key"))  # the table of runs
+    inside = _probes(spark, d).join(ranges, F.expr("min_key <= key and key <= max_key")).select("run_id", "key")
+    return bloom.probe(_filters(spark, d), _sized(spark, d, inside).select("run_id", "key", "m", "k"), F.col("m"), F.col("k"), ["run_id"])
 
 
-@query("bloom_roundtrip", "rundata", "SELECT run_id, count(*) AS members, count(*) AS found FROM rundata GROUP BY run_id")
+ORACLES["run_bloom_probe"] = (
+    _hashed("runs probes", "(SELECT key FROM rundata UNION SELECT key FROM probes)") + _run_bits
+    + ", asked AS (SELECT r.run_id, p.key, unnest(list_transform(range(0, k), lambda i: (a + i * b) % m)) AS bit FROM probes p JOIN runs r ON r.min_key <= p.key AND p.key <= r.max_key JOIN sizes s ON s.run_id = r.run_id JOIN hashed h ON h.key = p.key) "
+    "SELECT a.run_id AS run_id, a.key AS key, bool_and(b.bit IS NOT NULL) AS maybe FROM asked a LEFT JOIN bits b ON a.run_id = b.run_id AND a.bit = b.bit GROUP BY a.run_id, a.key"
+)
+
+
+@query("bloom_roundtrip")
 def _(spark, d):
-    """Bits packed to bitmaps and unpacked again still hold every member."""
-    data = _rundata(spark, d)
-    bits = bloom.set_bits(data, 4096, 7, ["run_id"])
-    packed = bits.groupBy("run_id", (F.col("bit") / 60).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 60 as int))")).alias("mask"))
-    unpacked = packed.select("run_id", F.explode(F.expr("filter(transform(sequence(0, 59), i -> if(shiftright(mask, i) & 1L = 1L, word * 60L + i, null)), x -> x is not null)")).alias("bit"))
-    asked = data.select("run_id", "key", F.explode(hash_probes(F.col("key"), 7, 4096)).alias("bit"))
-    hit = asked.join(unpacked.withColumn("hit", F.lit(True)), ["run_id", "bit"], "left").groupBy("run_id", "key").agg(F.bool_and(F.coalesce("hit", F.lit(False))).alias("maybe"))
-    return hit.groupBy("run_id").agg(F.count("*").alias("members"), F.count_if("maybe").alias("found"))
+    """Filters as bytes and back: how large, how many bits are set, and whether every member is still found."""
+    data, sizes = _rundata(spark, d), bloom.sizes(_rundata(spark, d), ["run_id"])
+    stored = bloom.stored(_filters(spark, d), sizes, ["run_id"])
+    back = bloom.loaded(stored, ["run_id"])
+    found = bloom.probe(back, _sized(spark, d, data.select("run_id", "key")).select("run_id", "key", "m", "k"), F.col("m"), F.col("k"), ["run_id"])
+    found = found.groupBy("run_id").agg(F.count("*").alias("members"), F.count_if("maybe").alias("found"))
+    bits = back.groupBy("run_id").agg(F.sum(F.bit_count("mask")).alias("bits_set"))
+    return stored.select("run_id", F.length("bytes").cast("long").alias("bytes")).join(found, "run_id").join(bits, "run_id")
+
+
+ORACLES["bloom_roundtrip"] = _hashed("rundata", "rundata") + _run_bits + " SELECT run_id, (m + 31) // 32 * 4 AS bytes, n AS members, n AS found, (SELECT count(*) FROM bits b WHERE b.run_id = s.run_id) AS bits_set FROM sizes s"
 
 
 @query("bloom_empirical_fpr")
 def _(spark, d):
-    members = spark.range(2000).select(F.format_string("member_%d", "id").alias("key"))
-    others = spark.range(2000).select(F.format_string("nonmember_%d", "id").alias("key"))
-    hits = bloom.probe(bloom.set_bits(members, 20_000, 7), others, 20_000, 7)
-    return hits.agg(F.count("*").alias("trials"), F.count_if("maybe").alias("false_positives"))
+    members = spark.range(100_000).select(F.format_string("member_%d", "id").alias("key"))
+    others = spark.range(50_000).select(F.format_string("nonmember_%d", "id").alias("key"))
+    words = bloom.words(members, 1_000_000, 7)
+    hits = bloom.probe(words, others, 1_000_000, 7).agg(F.count("*").alias("trials"), F.count_if("maybe").alias("false_positives"))
+    return words.agg(F.sum(F.bit_count("mask")).alias("bits_set")).join(F.broadcast(hits))  # one row each
+
+
+ORACLES["bloom_empirical_fpr"] = (
+    "WITH words AS (SELECT printf('member_%d', i) AS key FROM range(0, 100000) t(i) UNION ALL SELECT printf('nonmember_%d', i) FROM range(0, 50000) t(i)), " + _murmur_sql("words")
+    + f", bits AS (SELECT DISTINCT unnest({_probe_list(7, 1_000_000)}) AS bit FROM hashed WHERE key LIKE 'member%'), asked AS (SELECT key, unnest({_probe_list(7, 1_000_000)}) AS bit FROM hashed WHERE key LIKE 'nonmember%'), "
+    "hits AS (SELECT a.key, bool_and(b.bit IS NOT NULL) AS maybe FROM asked a LEFT JOIN bits b ON a.bit = b.bit GROUP BY a.key) "
+    "SELECT (SELECT count(*) FROM bits) AS bits_set, count(*) AS trials, CAST(sum(CASE WHEN maybe THEN 1 ELSE 0 END) AS BIGINT) AS false_positives FROM hits"
+)
 
 
 # --- manifest ---
@@ -536,14 +647,31 @@ def _(spark, d):
     return manifest.triggers(_runs(spark, d), LEVEL_BASE)
 
 
-@query("manifest_summary", "levels", "SELECT printf('L%d: %d runs, %d bytes', level, n_runs, total_size) AS line FROM levels")
+@query(
+    "manifest_snapshot", "runs",
+    "SELECT run_id FROM runs WHERE NOT (run_id % 2 = 0 AND run_id + 2 <= (SELECT max(run_id) FROM runs))",
+)
 def _(spark, d):
-    return manifest.level_stats(_runs(spark, d)).select(F.format_string("L%d: %d runs, %d bytes", "level", "n_runs", "total_size").alias("line"))
+    """The last version, where version v adds run v and takes out run v - 2 if that is even."""
+    ids = _runs(spark, d).select("run_id")
+    last = ids.agg(F.max("run_id")).first()[0]
+    removed = ids.where("run_id % 2 = 0").select((F.col("run_id") + 2).alias("version"), "run_id")
+    return manifest.snapshot(manifest.edits(ids.select(F.col("run_id").alias("version"), "run_id"), removed), last)
+
+
+@query("manifest_summary", "levels", f"SELECT printf('L%d: %d runs, %d of %d bytes', i, coalesce(n_runs, 0), coalesce(total_size, 0), CASE WHEN i = 0 THEN 0 ELSE CAST({LEVEL_BASE} * power(10, i - 1) AS BIGINT) END) AS line FROM (SELECT i FROM range(0, 3) t(i) UNION SELECT level FROM levels) LEFT JOIN levels ON level = i")
+def _(spark, d):
+    return manifest.summary(_runs(spark, d), LEVEL_BASE).select(F.format_string("L%d: %d runs, %d of %d bytes", "level", "n_runs", "total_size", "size_limit").alias("line"))
 
 
 @query("manifest_json", "runs", "SELECT run_id, CAST(to_json({'run_id': run_id, 'level': level, 'num_entries': num_entries, 'min_key': min_key, 'max_key': max_key, 'file_size': file_size}) AS VARCHAR) AS json FROM runs")
 def _(spark, d):
-    return _runs(spark, d).select("run_id", F.to_json(F.struct("run_id", "level", "num_entries", "min_key", "max_key", "file_size")).alias("json"))
+    return manifest.to_json(_runs(spark, d))
+
+
+@query("manifest_load", "runs", "SELECT run_id, level, num_entries, min_key, max_key, file_size FROM runs")
+def _(spark, d):
+    return manifest.from_json(manifest.to_json(_runs(spark, d)))
 
 
 @query("level_rollup", "runs", "SELECT level, run_id, CAST(sum(num_entries) AS BIGINT) AS n FROM runs GROUP BY ROLLUP (level, run_id)")
@@ -648,6 +776,16 @@ def _(spark, d):
     return compaction.merge_runs(_rundata(spark, d).join(inputs, "run_id", "left_semi")).select("key", "op", "seq")
 
 
+@query("compaction_commit", "runs latest", "SELECT (SELECT count(*) FROM latest WHERE op = 1) AS live_keys, (SELECT count(*) FROM runs WHERE level = 2) AS runs_below, 0::BIGINT AS runs_above, 1::BIGINT AS version")
+def _(spark, d):
+    """Levels 0 and 1 merged into runs of their own key ranges on level 1, committed as one version; what is visible stays."""
+    store = _new_store(spark, d)
+    store.compact(store.runs().where("level < 2"), 1, outputs=3)
+    live = resolve.visible(resolve.latest_wins(store.live_data())).agg(F.count("*").alias("live_keys"))
+    runs = store.runs().agg(F.count_if(F.col("level") == 2).alias("runs_below"), F.count_if(F.col("level") == 0).alias("runs_above"))
+    return live.join(F.broadcast(runs)).withColumn("version", F.lit(store.version()).cast("long"))  # one row each
+
+
 @query("split_outputs")
 def _(spark, d):
     sized = _rundata(spark, d).select("run_id", "key", (F.length("key") + F.octet_length("value")).cast("long").alias("size"))
@@ -655,7 +793,7 @@ def _(spark, d):
     return g.groupBy("run_id", "part").agg(F.count("*").alias("n"), F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.sum("size").alias("bytes"))
 
 
-_recursive("split_outputs", "rundata", _fold_sql("rundata", "run_id", "key", "length(key) + strlen(value)", SPLIT_LIMIT, "part", "count(*) AS n, min(o) AS min_key, max(o) AS max_key, CAST(sum(s) AS BIGINT) AS bytes"))
+_recursive("split_outputs", "rundata", _fold_sql("rundata", "run_id", "key", "length(key) + strlen(value)", SPLIT_LIMIT, "part", "count(*) AS n, min(o) AS min_key, max(o) AS max_key, CAST(sum(c) AS BIGINT) AS bytes"))
 
 
 # --- whole reads and measures ---
@@ -663,8 +801,8 @@ _recursive("split_outputs", "rundata", _fold_sql("rundata", "run_id", "key", "le
 
 @query("engine_get", "latest", "SELECT key, value FROM latest WHERE op = 1 AND key IN ('user_000003', 'user_000005', 'user_999999')")
 def _(spark, d):
-    wanted = F.col("key").isin("user_000003", "user_000005", "user_999999")
-    return resolve.visible(resolve.latest_wins(_rundata(spark, d).where(wanted))).select("key", "value")
+    wanted = ["user_000003", "user_000005", "user_999999"]
+    return resolve.visible(resolve.latest_wins(_store(spark, d).versions_of(wanted))).select("key", "value")
 
 
 @query("multi_get", "latest probes", "SELECT l.key AS key, l.value AS value FROM latest l WHERE l.op = 1 AND l.key IN (SELECT key FROM probes)")

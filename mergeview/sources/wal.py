@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mergeview.functions.text import frame_crc, frame_size
+from mergeview.functions.text import frame_crc, frame_payload, frame_size, le32
 from mergeview.schemas import DELETE, PUT
 
 HEADER = struct.Struct("<IIIB")  # checksum, key's and value's bytes, operation
@@ -59,14 +59,26 @@ def frame(op: int, key: str, value: bytes) -> bytes:
     return struct.pack("<I", zlib.crc32(body)) + body
 
 
-def replay(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the segment files under a path; a segment is small by construction, so one file is one row's work."""
+def framed(rows: DataFrame) -> DataFrame:
+    """segment_id and content: the bytes of each segment.  rows: what appended() gives; a segment is small by construction."""
+    record = F.concat(le32(F.col("crc")), frame_payload(F.col("op"), F.col("key"), F.col("value")))
+    held = rows.groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("lsn", F.hex(record).alias("hex")))).alias("records"))
+    return held.select("segment_id", F.unhex(F.array_join(F.col("records.hex"), "")).alias("content"))
+
+
+def replayed(segments: DataFrame, name: str) -> DataFrame:
+    """Records of the valid prefix of each segment.  segments: its name and content."""
 
     def read(batches):
         import pandas as pd
 
         for batch in batches:
-            for name, data in zip(batch["path"], batch["content"]):
-                yield pd.DataFrame([(name, *r) for r in frames(bytes(data))], columns=["path", "lsn", "op", "key", "value"])
+            for segment, data in zip(batch[name], batch["content"]):
+                yield pd.DataFrame([(segment, *r) for r in frames(bytes(data))], columns=[name, "lsn", "op", "key", "value"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, lsn long, op int, key string, value binary")
+    return segments.select(name, "content").mapInPandas(read, f"{name} {segments.schema[name].dataType.simpleString()}, lsn long, op int, key string, value binary")
+
+
+def replay(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the segment files under a path; a segment is small by construction, so one file is one row's work."""
+    return replayed(spark.read.format("binaryFile").load(path), "path")

@@ -29,13 +29,29 @@ def test_bloom_sizes(spark):
     df = spark.createDataFrame([(0,), (1,), (3,), (1000,), (100000,)], "n long")
     m = bloom.num_bits(F.col("n"))
     assert [tuple(r) for r in df.select(m, bloom.num_hashes(F.col("n"), m)).collect()] == [(64, 44), (64, 44), (64, 15), (10000, 7), (1000000, 7)]
-    rate = spark.range(1).select(bloom.theoretical_rate(F.lit(100000), F.lit(1000000), F.lit(7)), bloom.bits_per_key(F.lit(0.01)), bloom.bits_per_key(F.lit(1.0))).first()
-    assert rate[0] == pytest.approx(0.008193722, abs=1e-9) and rate[1] == pytest.approx(9.585058377, abs=1e-9) and rate[2] is None
+    rate = spark.range(1).select(bloom.theoretical_rate(F.lit(100000), F.lit(1000000), F.lit(7)), bloom.bits_per_key(F.lit(0.01))).first()
+    assert rate[0] == pytest.approx(0.008193722, abs=1e-9) and rate[1] == pytest.approx(9.585058377, abs=1e-9)
+    for p in (0.0, 1.0, -1.0):
+        with pytest.raises(Exception, match="a rate lies between 0 and 1"):
+            spark.range(1).select(bloom.bits_per_key(F.lit(p))).collect()
 
 
 def test_no_false_negative(spark):
     keys = spark.createDataFrame([("",), ("é",), ("a" * 300,), ("b",)], "key string")
-    assert bloom.probe(bloom.set_bits(keys, 512, 5), keys, 512, 5).where("not maybe").count() == 0
+    size = bloom.sizes(keys, []).first()
+    words = bloom.words(keys, size.m, size.k)
+    assert bloom.probe(words, keys, size.m, size.k).where("not maybe").count() == 0
+    held = bloom.stored(words.withColumn("r", F.lit(1)), spark.createDataFrame([(1, size.m, size.k)], "r int, m long, k int"), ["r"])
+    back = {(r.word, r.mask) for r in bloom.loaded(held, ["r"]).collect()}
+    assert back == {(r.word, r.mask) for r in words.collect()} and held.select(F.length("bytes")).first()[0] == 8
+
+
+def test_filters_grow_with_their_keys(spark):
+    """A hundred times the keys, a hundred times the bits, and the same share of wrong yeses: 399 of 50,000 at 100,000 keys."""
+    from mergeview.plans import catalog
+
+    r = catalog.QUERIES["bloom_empirical_fpr"](spark, "").first()
+    assert (r.bits_set, r.trials, r.false_positives) == (503_079, 50_000, 399)
 
 
 def test_frames(spark):
@@ -86,6 +102,49 @@ def test_bucket_bounds_are_inclusive(spark):
     assert {r.run_id: r.bucket for r in got.collect()} == {0: 0, 1: 0, 2: 1}
 
 
+def formatted(spark, n, key, value, target):
+    rows = spark.range(n).select(F.lit(0).alias("r"), F.format_string(key, "id").alias("key"), F.concat(F.lit(value), F.col("id").cast("string")).alias("value"))
+    return blocks.packed(rows, ["r"], target)
+
+
+def test_block_of_the_format(spark):
+    """50 entries of user:profile:%06d and data_{i}: 816 bytes, 1,290 as they are."""
+    packed = formatted(spark, 50, "user:profile:%06d", "data_", 4096)
+    assert blocks.block_stats(packed, ["r"]).first()["size"] == 816
+
+
+def test_run_of_the_format(spark):
+    """50,000 keys: 244 blocks, the first of 232 entries and 4,106 bytes; where the index, the filter and the file end."""
+    index = blocks.sparse_index(formatted(spark, 50_000, "key_%08d", "value_", 4096), ["r"])
+    rows = index.orderBy("block_id").collect()
+    assert len(rows) == 244 and (rows[0].n, rows[0].size) == (232, 4106)
+    assert (rows[-1].first_key, rows[-1].last_key, rows[-1].offset, rows[-1].size, rows[-1].n) == ("key_00049899", "key_00049999", 997_004, 2_046, 101)
+    sizes = blocks.file_sizes(index, ["r"]).first()
+    assert (sizes.blocks, sizes.n, sizes.index_offset, sizes.bloom_offset, sizes.file_size) == (244, 50_000, 999_054, 1_004_426, 1_066_962)
+
+
+def test_smaller_run_of_the_format(spark):
+    """1,250 keys in blocks of 2,048 bytes: 10 blocks, 22,289 bytes."""
+    index = blocks.sparse_index(formatted(spark, 1_250, "key_%08d", "val_", 2048), ["r"])
+    assert tuple(blocks.file_sizes(index, ["r"]).select("blocks", "file_size").first()) == (10, 22_289)
+
+
+def test_folds_are_linear(spark):
+    """A sequence of a million rows beside short ones, one of null; groups as a plain loop cuts them."""
+    n = 1_000_000
+    rows = spark.range(n + 300).select(F.when(F.col("id") < n, "long").when(F.col("id") < n + 100, "short").otherwise(F.lit(None)).alias("s"), F.col("id").alias("o"), (F.col("id") * 7919 % 97).alias("size"))
+    got = folds.greedy_groups(rows, ["s"], "o", "size", 1000).groupBy("s", "grp").agg(F.min("o").alias("o"), F.sum("size").alias("t")).collect()
+    want, at = {}, {}
+    for i in range(n + 300):
+        s = "long" if i < n else "short" if i < n + 100 else None
+        g, t = at.get(s, (0, 0))
+        if t == 0 and (s, g) not in want:
+            want[s, g] = i
+        t += i * 7919 % 97
+        at[s] = (g + 1, 0) if t >= 1000 else (g, t)
+    assert {(r.s, r.grp): r.o for r in got} == want
+
+
 def test_victim(spark):
     rows = [(1, 1, "a", "c", 1), (2, 1, "d", "f", 1), (3, 1, "g", "k", 1), (4, 2, "b", "d", 50), (5, 2, "e", "e", 5), (6, 2, "h", "j", 70)]
     got = compaction.victim(spark.createDataFrame(rows, "run_id long, level int, min_key string, max_key string, file_size long"), 1).first()
@@ -130,6 +189,78 @@ def test_run_files(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(key), EqualTo(key,k00007)]" in plan
 
 
+def store_of(spark, path, rows):
+    from mergeview.sources.runs import RunStore
+
+    store = RunStore(spark, str(path))
+    store.add(spark.createDataFrame(rows, "run_id long, seq long, op int, key string, value string, level int"))
+    return store
+
+
+def test_store_commits_merges_as_versions(spark, tmp_path):
+    rows = [(r, r * 100 + i, 2 if i % 5 == r else 1, f"k{(i * 3 + r) % 17:02}", f"v{r}.{i}", min(r, 1)) for r in range(4) for i in range(17)]
+    store = store_of(spark, tmp_path / "store", rows)
+    before = {r.key: r.value for r in resolve.visible(resolve.latest_wins(store.live_data())).collect()}
+    assert store.version() == 0 and store.runs().count() == 4
+    store.compact(store.runs().where("run_id < 2"), 1, outputs=2)
+    assert store.version() == 1 and {r.key: r.value for r in resolve.visible(resolve.latest_wins(store.live_data())).collect()} == before
+    live = {r.run_id: r for r in store.runs().collect()}
+    assert {0, 1}.isdisjoint(live) and {2, 3} < live.keys() and {r.run_id for r in store.runs(0).collect()} == {0, 1, 2, 3}
+    made = sorted((r for i, r in live.items() if i > 3), key=lambda r: r.min_key)
+    assert made and all(a.max_key < b.min_key for a, b in zip(made, made[1:])) and sum(r.num_entries for r in made) == 17
+    store.compact(store.runs(), 2, drop_deletes=True)
+    assert {r.key: r.value for r in store.live_data().collect()} == before and store.version() == 2
+
+
+@pytest.mark.parametrize("query", ["point_get", "engine_get", "run_get", "range_scan"])
+def test_reads_are_pushed_down_to_the_files(spark, query):
+    from mergeview.plans import catalog
+    from tests.conftest import SF
+
+    plan = catalog.QUERIES[query](spark, SF)._jdf.queryExecution().toString()
+    pushed = plan[plan.index("PushedFilters: [") :].split("]")[0]
+    assert any(f"{x}(key" in pushed for x in ("EqualTo", "In", "GreaterThanOrEqual")), pushed
+
+
+def test_runs_whose_range_holds_no_wanted_key_are_not_opened(spark, tmp_path):
+    store = store_of(spark, tmp_path / "store", [(r, r * 10 + i, 1, f"k{r}{i}", "v", 0) for r in range(5) for i in range(5)])
+    got = store.versions_of(["k13", "k31", "zz"])
+    assert sorted(r.key for r in got.collect()) == ["k13", "k31"]
+    assert "PartitionFilters: [isnotnull(run_id" in (plan := got._jdf.queryExecution().toString()) or "run_id#" in plan.split("PartitionFilters")[1][:60]
+
+
+def test_manifest_keeps_empty_levels_and_loads_what_it_writes(spark):
+    rows = spark.createDataFrame([(1, 1, 5, "a", "é", 20_000_000, 0, 9)], "run_id long, level int, num_entries long, min_key string, max_key string, file_size long, min_seq long, max_seq long")
+    assert sorted(tuple(r) for r in manifest.summary(rows).collect()) == [(0, 0, 0, 0), (1, 1, 20_000_000, 10_485_760), (2, 0, 0, 104_857_600)]
+    assert [tuple(r) for r in manifest.from_json(manifest.to_json(rows)).collect()] == [(1, 1, 5, "a", "é", 20_000_000)]
+    edits = spark.createDataFrame([(1, 1, True), (2, 2, True), (3, 1, False), (4, 1, True)], "version long, run_id long, live boolean")
+    assert [sorted(r.run_id for r in manifest.snapshot(edits, v).collect()) for v in (1, 2, 3, None)] == [[1], [1, 2], [2], [1, 2]]
+
+
+def test_the_largest_key_is_the_true_one_and_the_last_level_is_never_due(spark, tmp_path):
+    """A run's range ends at its last key, not at its last block's first; a full last level isn't picked; filters follow the keys."""
+    store = store_of(spark, tmp_path / "store", [(0, i, 1, f"key_{i:08d}", "v" * 50, 2) for i in range(300)])
+    r = store.runs().first()
+    assert (r.min_key, r.max_key) == ("key_00000000", "key_00000299")
+    assert compaction.level_pick(store.runs(), 1, 4, 2).first().level is None and compaction.level_pick(store.runs(), 1, 4, 3).first().level == 2
+    assert bloom.sizes(store.data(), ["run_id"]).first().m == 3000
+
+
+def test_entry_without_the_folder_for_training_data(monkeypatch):
+    """The engine's queries load where a library that only the other operators need is missing."""
+    import builtins
+    import importlib
+    import sys
+
+    real = builtins.__import__
+    monkeypatch.setattr(builtins, "__import__", lambda name, *a, **k: (_ for _ in ()).throw(ImportError(name)) if name == "regex" else real(name, *a, **k))
+    for name in [x for x in sys.modules if x.startswith("mergeview.llm") or x in ("regex", "__spark_entry__", "corpus_pipeline")]:
+        monkeypatch.delitem(sys.modules, name)
+    e = importlib.import_module("__spark_entry__")
+    assert "current_state" in e.queries() and not any(q.startswith("op") for q in e.queries()) and "pipeline" not in e.queries()
+    monkeypatch.delitem(sys.modules, "__spark_entry__")
+
+
 def test_streaming_flush(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "runs")
     for i in range(3):
