@@ -142,7 +142,7 @@ def base_measures(t: Texts) -> dict[str, np.ndarray]:
     breaks = np.flatnonzero(t.data == 10)
     starts = np.union1d(t.offsets[:-1][np.diff(t.offsets) > 0], breaks + 1)
     starts = starts[starts < len(t.data)]
-    ends = np.minimum(np.append(starts[1:], len(t.data)), len(t.data))
+    ends = np.append(starts[1:], len(t.data))[: len(starts)]
     text_of = np.searchsorted(t.offsets, starts, "right") - 1
     ends = ends - (t.data[ends - 1] == 10) if len(ends) else ends  # without the break
     has_word = np.searchsorted(t.starts, ends) > np.searchsorted(t.starts, starts)
