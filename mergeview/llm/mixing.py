@@ -13,7 +13,8 @@ there.  Placing documents is a join with the table of blocks and slots.
 Every document gets one place, so a source ends once its blocks are used up.  The schedule then goes on,
 in a further phase, among the sources that are left, with their weights in proportion.  Sources are the
 rows of a small table: one for each name.  A null source is a source of its own.  Repeated documents
-have places of their own; null ids and texts are kept.
+have places of their own; null ids and texts are kept, and texts of any length weigh the same.  Columns of
+the table are kept; where it has a column block, slot or place, that of the schedule has a _ behind its name.
 """
 
 from __future__ import annotations
@@ -130,6 +131,16 @@ def block_slots(phase: dict, window: int) -> list[tuple[str, int, int]]:
     return [(s, phase["first"][s] + k, phase["slot"] + start + i) for i, (s, k) in enumerate(steps)]
 
 
+def schedule_columns(columns: list[str]) -> list[str]:
+    """Names of block, slot and place beside these columns."""
+    out = []
+    for name in ("block", "slot", "place"):
+        while name in columns:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK, period: int = WINDOW, seed: int = 0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """docs with block (number in its source), slot (of the block) and place (of the document in the mix).
 
@@ -186,4 +197,5 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     slots = slots.select("s", "b", F.col("slot").alias("_slot"))
     rows = rows.join(send(slots), (F.col("_s") == F.col("s")) & (F.col("_b") == F.col("b")))
     slot = F.col("_slot")
-    return rows.select(*(F.col(x).alias(c) for c, x in zip(columns, names) if c not in ("block", "slot", "place")), F.col("_b").alias("block"), slot.alias("slot"), (slot * block + F.col("_n") % block).alias("place"))
+    schedule = zip((F.col("_b"), slot, slot * block + F.col("_n") % block), schedule_columns(columns))
+    return rows.select(*(F.col(x).alias(c) for c, x in zip(columns, names)), *(x.alias(c) for x, c in schedule))
