@@ -8,7 +8,8 @@ position relative to the template's start, and accepts the template when enough
 stand in line.  Short grants, such as "released under the MIT License", are known by their phrase alone.
 
 A word is a run of characters other than 0x00-2F, 3A-60 and 7B-7F after A-Z are lower-cased.  Null and
-empty texts have no words and no labels.  Everything is Spark expressions; texts are read once, and
+empty texts have no words and no labels; texts of any length are read as a whole, repeated rows give repeated
+results, and columns other than id and text are not looked at, whatever their names.  Everything is Spark expressions; texts are read once, and
 later steps use a written table of the licence words found.
 """
 
@@ -104,13 +105,18 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
+def postings(templates) -> list[tuple[str, int, str, int]]:
+    """label, passage, word and its place in the passage."""
+    return [(label, part, word, at) for label, (passages, _) in templates.items() for part, text in enumerate(passages) for at, word in enumerate(text.split()) if word not in COMMON]
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = docs.sparkSession
     saved = Saved(spark)
-    postings = [(label, part, word, at) for label, (passages, _) in templates.items() for part, text in enumerate(passages) for at, word in enumerate(text.split()) if word not in COMMON]
+    posted = postings(templates)
     keys = [(label, phrase) for label, (_, phrases) in templates.items() for phrase in phrases]
-    vocabulary = sorted({w for _, _, w, _ in postings})
+    vocabulary = sorted({w for _, _, w, _ in posted})
     grants = [(label, phrase) for label, phrases in GRANTS.items() for phrase in phrases]
     watched = sorted({*vocabulary, *(p.split()[0] for p in BASE), *(p.split()[0] for _, p in keys + grants)})
 
@@ -136,13 +142,13 @@ def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col:
     rank = {word: i for i, word in enumerate(sorted(vocabulary, key=lambda x: (frequency.get(x, 0), x)))}
     # rarest first: a word of the same rank in all documents, so the choice per document and template is the smallest ranks
     ranks = F.create_map(*(x for word, i in rank.items() for x in (F.lit(word), F.lit(i))))
-    passages = sorted({(label, part) for label, part, _, _ in postings})
-    own_ranks = {at: sorted({rank[w] for label, part, w, _ in postings if (label, part) == at}) for at in passages}
+    passages = sorted({(label, part) for label, part, _, _ in posted})
+    own_ranks = {at: sorted({rank[w] for label, part, w, _ in posted if (label, part) == at}) for at in passages}
     told = lambda label: F.size(F.array_except(F.array(*(F.lit(f"{label}|{p}") for p in templates[label][1])), F.col("phrases"))) == 0
     choice = lambda at: F.slice(F.array_sort(F.array_intersect(F.col("ranks"), F.array(*map(F.lit, own_ranks[at])))), 1, RARE_WORDS)
     in_document = slim.where((F.size("marked") > 0) & (F.size("phrases") > 0)).select("row", "phrases", F.array_distinct(F.transform("marked", lambda h: F.element_at(ranks, h["word"]))).alias("ranks"))
     chosen = in_document.select("row", F.explode(F.array(*(F.when(told(at[0]), F.struct(F.lit(at[0]).alias("label"), F.lit(at[1]).alias("part"), choice(at).alias("chosen"))) for at in passages))).alias("x")).where("x is not null")
-    index = spark.createDataFrame([(label, part, rank[word], at) for label, part, word, at in postings], "label string, part int, rank int, place int")
+    index = spark.createDataFrame([(label, part, rank[word], at) for label, part, word, at in posted], "label string, part int, rank int, place int")
     looked_up = chosen.select("row", "x.label", "x.part", F.explode("x.chosen").alias("rank"))
     postings_of = F.broadcast(index)  # as long as the templates
     wanted = looked_up.groupBy("row", "label", "part").agg(F.count("*").alias("wanted"))

@@ -7,7 +7,12 @@ computed once for all words below, and a word's count is stored where it ends.
 up stored counts.
 
 Characters that no piece covers count as their UTF-8 bytes.  Words are cut at white space and begin
-with the piece model's mark of a word.  Null and empty texts have no words and no tokens.
+with the piece model's mark of a word.  Null and empty texts have no words and no tokens; very long texts are
+read as a whole, repeated rows give repeated results, and columns other than id and text are not looked at,
+whatever their names.
+
+The public file holds ranks, not probabilities, and vocabularies are not trained here, so a piece's score is
+the logarithm of its Zipf probability by rank.
 """
 
 from __future__ import annotations
