@@ -3,7 +3,7 @@
 Each stage reads what the one before has written.  All but the last return the columns of documents.
 The mixture keeps every document and decides their order.  Order doesn't outlast a table that is written
 and read again, and a stage in between may not add columns, so the last stage takes the same schedule,
-which follows from the documents alone, and returns each document's block, slot and place in it.
+which follows from the documents alone, and returns each document's token ids with its block, slot and place in it.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergeview.llm import bpe, jaccard, mixing, pii, quality
-from mergeview.llm.catalog import VOCABULARIES
+from mergeview.llm.catalog import VOCABULARIES, pseudonym_key
 from mergeview.llm.tables import Saved, importable
 
 
@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(docs)
+    return pii.pseudonymise(docs, pseudonym_key(spark))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
-    return bpe.encode_documents(mixing.mix(docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("source", "block", "slot", "place"))
+    placed = mixing.mix(docs)
+    keep = ("source", *mixing.schedule_columns(docs.columns))
+    return bpe.encode_documents(placed, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, keep=keep)
 
 
 STAGES = [

@@ -6,7 +6,8 @@ go left.  One merge reads the root, walks down to the leftmost minimum and makes
 live neighbours only, so a piece of n bytes costs O(n log n) even if it is a whole document long.
 
 Spark deals out the documents; a task keeps a bounded memo of pieces it has met.  Null text is empty
-text: no tokens and the digests of the empty string.  Repeated rows give repeated results.
+text: no tokens and the digests of the empty string.  Repeated rows give repeated results.  Columns to pass
+through may not have the names of results; others are not looked at.
 """
 
 from __future__ import annotations
@@ -228,6 +229,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 out, names = [*out, pa.array(lists, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays([*out, *batch.columns[2:]], [*names, *keep])
 
+    results = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", *["ids"] * with_ids]
+    if clash := set(keep) & set(results):
+        raise ValueError(f"results are called {sorted(clash)}")
     kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids + kept
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *(docs[c] for c in keep)).mapInArrow(run, schema)

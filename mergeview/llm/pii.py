@@ -4,15 +4,19 @@ Every valid match is replaced by a keyed permutation of itself within its format
 get equal pseudonyms in all documents and the text keeps its shape:
 
 * payment cards of 13-19 digits with a right Luhn sum: issuer digit and grouping stay, the check digit is right again;
-* phone numbers: country code and grouping stay, area and exchange codes that begin with 2-9 still do;
-* US social security numbers, IPv4 addresses (each number up to 255) and dates of 1700-2099
+* IBANs with a right check (modulo 97): country, length, grouping and the places of letters stay, the check digits are right again;
+* phone numbers: country code and grouping stay, area and exchange codes that begin with 2-9 still do; other international
+  numbers of 8-15 digits after a +: the first group (the first two digits of an ungrouped number) and the grouping stay;
+* US social security numbers, IPv4 addresses (each number up to 255), IPv6 addresses (hexadecimal digits) and dates of 1700-2099
   (1999-12-31, 31.12.1999, 12/31/1999 and 31/12/1999 where that is the only reading);
-* e-mail addresses: the part before the @ keeps its pattern of letters and digits;
+* e-mail addresses: the part before the @ keeps its pattern of letters (each in its script) and digits;
 * access keys, hexadecimal tokens (lower-case, upper-case or mixed) and passwords keep length and alphabet.
 
 The permutation is a Feistel network of ROUNDS rounds over two halves with SHA-256 of key, kind, round
 and other half as round function.  Numbers that fail validation stay.  All of it is Spark expressions.
-Null text stays null, text without a match is returned as it is; columns other than the text are kept.
+Null text stays null, text without a match is returned as it is, texts of any length are looked at as a whole;
+columns other than the text are kept, whatever their names, and repeated rows give repeated results.  A name for
+the column of findings that the table has already is refused.
 """
 
 from __future__ import annotations
@@ -21,17 +25,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-KEY = "change-me"
 DAY_ZERO, DAYS_HIGH, DAYS_LOW = "1700-01-01", 189, 773  # 400 years are 146,097 = 189 * 773 days
 
 _start, _end = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 #: Tried in this order at each place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)+",
     "password": r"(?<=(?i:password)[\"']?[ \t]{0,8}[=:][ \t]{0,8}[\"']?)[^\s\"'<>]{4,}+",
     "access": _start + r"AKIA[0-9A-Z]{16}" + _end,
     "hex": _start + r"[0-9A-Fa-f]{32,128}+" + _end,
     "phone": r"(?<![0-9A-Za-z.\-])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{3}\) ?|[0-9]{3}[.\- ])|\([0-9]{3}\) ?|[2-9][0-9]{2}[.\- ](?=[2-9]))[0-9]{3}[.\- ][0-9]{4}(?![0-9A-Za-z]|[.\-][0-9])",
+    "intl": r"(?<![0-9A-Za-z+])\+[1-9][0-9]{0,2}+(?:[ .\-/]?+\(?+[0-9]{1,12}+\)?+){1,5}+(?![0-9A-Za-z])",
+    "iban": _start + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+| [A-Z0-9]{4}(?: [0-9][0-9A-Z]{3}){1,6}+(?: [0-9][0-9A-Z]{0,2})?+)" + _end,
+    "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f]{0,3}[0-9])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}:(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "card": _start + r"(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}(?: [0-9]{1,3})?|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})" + _end,
     "ssn": r"(?<![0-9A-Za-z]|[0-9]\-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "date": r"(?<![0-9A-Za-z]|[0-9][.\-/])(?:(?:1[789]|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:1[789]|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:1[789]|20)[0-9]{2})(?![0-9A-Za-z]|[.\-/][0-9])",
@@ -41,6 +47,8 @@ ANY = "|".join(PATTERNS.values())
 MAY = "[0-9@]|(?i:password)|AKIA|[A-Fa-f]{32}"  # no match of ANY is without
 
 UPPER = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Letters outside a-z that are permuted among themselves: Latin with accents, Greek, Cyrillic, Hebrew.
+LETTERS = ["".join(map(chr, range(a, b + 1))) for a, b in ((0xC0, 0xD6), (0xE0, 0xF6), (0x3B1, 0x3C9), (0x410, 0x42F), (0x430, 0x44F), (0x5D0, 0x5EA))]
 #: Kinds of hexadecimal tokens and their alphabets, from narrow to wide.
 HEX = {"hex": "0123456789abcdef", "hex-upper": "0123456789ABCDEF", "hex-mixed": "0123456789abcdefABCDEF"}
 
@@ -66,8 +74,11 @@ def _added(text: Column, digest: Column, kind: Column, left: bool) -> Column:
         c, b = F.substr(text, j, F.lit(1)), F.conv(F.substr(digest, 2 * F.pmod(j - 1, F.lit(32)) + 1, F.lit(2)), 16, 10).cast("int")
         code = F.ascii(c)
         first = F.when(code.between(48, 57), 48).when(code.between(97, 122), 97).when(code.between(65, 90), 65)
-        plain = F.when(first.isNull(), c).otherwise(F.char(first + F.pmod(code - first + b, F.when(first == 48, 10).otherwise(26))))
-        out = F.when(kind == "access", in_alphabet(c, b, UPPER))
+        other = F.when(code < 128, c)
+        for alphabet in LETTERS:
+            other = other.when(F.instr(F.lit(alphabet), c) > 0, in_alphabet(c, b, alphabet))
+        plain = F.when(first.isNull(), other.otherwise(c)).otherwise(F.char(first + F.pmod(code - first + b, F.when(first == 48, 10).otherwise(26))))
+        out = F.when(kind == "access", in_alphabet(c, b, UPPER)).when(kind == "ipv6", F.when(c.rlike("[A-F]"), in_alphabet(c, b, "ABCDEF")).when(c.rlike("[a-f]"), in_alphabet(c, b, "abcdef")).otherwise(in_alphabet(c, b, "0123456789")))
         for name, alphabet in HEX.items():
             out = out.when(kind == name, in_alphabet(c, b, alphabet))
         if left:
@@ -107,6 +118,16 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
+def mod97(text: Column) -> Column:
+    """The remainder of a number whose letters stand for 10 to 35."""
+
+    def add(rest: Column, i: Column) -> Column:
+        c = F.ascii(F.substr(text, i, F.lit(1)))
+        return F.pmod(F.when(c < 58, rest * 10 + (c - 48)).otherwise(rest * 100 + (c - 55)), F.lit(97)).cast("int")
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), add)
+
+
 def luhn_sum(digits: Column) -> Column:
     """The Luhn sum of a number with its check digit."""
     n = F.length(digits)
@@ -118,12 +139,12 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
 
 
-def regrouped(digits: Column, pattern: Column) -> Column:
-    """pattern with its digits replaced by these."""
+def regrouped(digits: Column, pattern: Column, other: str = "[^0-9]") -> Column:
+    """pattern with its digits, or what doesn't match `other`, replaced by these."""
 
     def put(j: Column) -> Column:
         c = F.substr(pattern, j, F.lit(1))
-        return F.when(c.between("0", "9"), F.substr(digits, F.length(_digits(F.substr(pattern, F.lit(1), j))), F.lit(1))).otherwise(c)
+        return F.when(~c.rlike(other), F.substr(digits, F.length(F.regexp_replace(F.substr(pattern, F.lit(1), j), other, "")), F.lit(1))).otherwise(c)
 
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(pattern)), put), "")
 
@@ -136,21 +157,33 @@ def kind_of(m: Column) -> Column:
     shape = shape.when(m.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), "ip").when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
     shape = shape.when(m.rlike(r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1[0-9]{4})$"), "date")
     shape = shape.when(m.rlike(r"^(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.\- ])[0-9]{3}[.\- ][0-9]{4}$"), "phone")
-    return shape.when(m.rlike(r"^[0-9](?:[ \-]?[0-9]){12,18}$"), "card").otherwise("password")
+    shape = shape.when(m.rlike(r"^[0-9](?:[ \-]?[0-9]){12,18}$"), "card").when(m.rlike(r"^\+[0-9][0-9 .\-/()]*$"), "intl")
+    shape = shape.when(m.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11,}$"), "iban").when(m.rlike("^[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]*:[0-9A-Fa-f:]*[0-9A-Fa-f]$"), "ipv6")
+    return shape.otherwise("password")
 
 
 def _changed_text(m: Column, digits: Column, kind: Column, key: str) -> Column:
     """All kinds but ip and date.  What is permuted is the core; the rest of the match is kept or follows from it."""
     n = F.length(digits)
     core = F.when(kind == "email", F.substring_index(m, "@", 1)).when(kind == "access", F.substr(m, F.lit(5), F.lit(16)))
-    core = core.when(kind == "card", F.substr(digits, F.lit(2), n - 2)).when(kind == "phone", F.substr(digits, n - 9, F.lit(10))).when(kind == "ssn", digits).otherwise(m)
+    core = core.when(kind == "card", F.substr(digits, F.lit(2), n - 2)).when(kind == "phone", F.substr(digits, n - 9, F.lit(10))).when(kind == "ssn", digits)
+    # the first group stays; without groups, two digits
+    rest = F.when(m.rlike(r"^\+[0-9]{1,3}[ .\-/(]"), n - F.length(F.regexp_extract(m, "^.([0-9]+)", 1))).otherwise(n - 2)
+    core = core.when(kind == "intl", F.substr(digits, n - rest + 1, rest)).when(kind == "iban", F.substr(F.replace(m, F.lit(" ")), F.lit(5), F.length(m)))
+    core = core.when(kind == "ipv6", F.replace(m, F.lit(":"))).otherwise(m)
+
+    def iban(new: Column) -> Column:
+        country = F.substr(m, F.lit(1), F.lit(2))
+        return F.concat(country, F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0"), new)
 
     def with_check(body: Column) -> Column:
         return F.concat(body, F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
 
     def whole(new: Column) -> Column:
         number = F.when(kind == "card", let(F.concat(F.substr(digits, F.lit(1), F.lit(1)), new), with_check)).when(kind == "phone", F.concat(F.substr(digits, F.lit(1), n - 10), new)).otherwise(new)
-        out = F.when(kind.isin("card", "phone", "ssn"), let(number, lambda d: regrouped(d, m)))
+        number = F.when(kind == "intl", F.concat(F.substr(digits, F.lit(1), n - rest), new)).otherwise(number)
+        out = F.when(kind.isin("card", "phone", "ssn", "intl"), let(number, lambda d: regrouped(d, m)))
+        out = out.when(kind == "iban", let(iban(new), lambda d: regrouped(d, m, " "))).when(kind == "ipv6", regrouped(new, m, ":"))
         return out.when(kind == "email", F.concat(new, F.lit("@"), F.substring_index(m, "@", -1))).when(kind == "access", F.concat(F.lit("AKIA"), new)).otherwise(new)
 
     return let(let(core, lambda c: permuted_text(c, key, kind)), whole)
@@ -182,14 +215,22 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """The match's pseudonym, or the match itself if it isn't valid."""
 
     def valid(digits: Column) -> Column:
-        fine = F.when(kind == "card", luhn_sum(digits) % 10 == 0).when(kind == "ssn", ~m.rlike("^(?:000|666|9)|-00-|-0000$")).otherwise(F.lit(True))
+        fine = F.when(kind == "card", luhn_sum(digits) % 10 == 0).when(kind == "ssn", ~m.rlike("^(?:000|666|9)|-00-|-0000$"))
+        fine = fine.when(kind == "intl", F.length(digits).between(8, 15)).when(kind == "iban", let(F.replace(m, F.lit(" ")), lambda x: F.length(x).between(15, 34) & (mod97(F.concat(F.substr(x, F.lit(5), F.length(x)), F.substr(x, F.lit(1), F.lit(4)))) == 1))).otherwise(F.lit(True))
         return F.when(fine, _changed_text(m, digits, kind, key)).otherwise(m)
 
     return F.when(kind.isin("ip", "date"), F.coalesce(_changed_number(m, kind, key), m)).otherwise(let(_digits(m), valid))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", found_col: str | None = None) -> DataFrame:
-    """docs with its text pseudonymised; found_col, if given, gets an array of (kind, value's pseudonym) for each replacement."""
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: str | None = None) -> DataFrame:
+    """docs with its text pseudonymised; found_col, if given, gets an array of (kind, value's pseudonym) for each replacement.
+
+    Who knows the key can invert the pseudonyms, so it is asked for and there is no default.
+    """
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
+    if found_col in docs.columns:
+        raise ValueError(f"the table has a column {found_col}")
     text = F.col(f"`{text_col}`")
     found = F.when(text.rlike(MAY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     names = [c for c in docs.columns]

@@ -6,7 +6,8 @@ positives; the others skip that join.  The filter is sent to the executors only
 blocks of 16 bytes; beyond that it is joined by block.
 
 A null url, or one without "://", has an empty host and path and no canonical form, so no rule fits and
-it is allowed.  Every page gives a row; repeated pages and repeated list entries change nothing.
+it is allowed.  Every page gives a row; repeated pages and repeated list entries change nothing.  URLs of any
+length are looked at as a whole; columns other than id and url are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -73,7 +74,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
     words = bloom_filter(listed, blocks)
     words = F.broadcast(words) if blocks <= BROADCAST_BLOCKS else words
     block, mask = bloom_bits(F.col("canonical"), blocks)
-    probed = rows.withColumns({"block": F.when(F.col("canonical").isNotNull(), block).otherwise(F.lit(-1)), "mask": mask}).join(words, "block", "left")
+    nowhere = -1 - F.pmod(F.xxhash64("page_id"), F.lit(1 << 20))  # urls without a form are in no block, and not all in one
+    probed = rows.withColumns({"block": F.when(F.col("canonical").isNotNull(), block).otherwise(nowhere), "mask": mask}).join(words, "block", "left")
     probed = probed.withColumn("maybe", F.coalesce(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False)))
     hits = probed.where("maybe").join(listed.withColumn("found", F.lit(True)), "canonical", "left")
     columns = ["page_id", "host", "path", F.coalesce("found", F.lit(False)).alias("listed")]

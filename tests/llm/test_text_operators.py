@@ -247,7 +247,7 @@ PRIVATE = [
 
 def test_pseudonyms_keep_the_format(spark):
     texts = [f"before {v} and ({v})." for v, _ in PRIVATE]
-    rows = {r.doc_id: r for r in pii.pseudonymise(frame(spark, texts), found_col="found").collect()}
+    rows = {r.doc_id: r for r in pii.pseudonymise(frame(spark, texts), "k", found_col="found").collect()}
     new = {}
     for i, (value, kind) in enumerate(PRIVATE):
         found = rows[i].found
@@ -268,9 +268,9 @@ def test_pseudonyms_keep_the_format(spark):
 def test_pseudonyms_leave_the_rest(spark):
     texts = [*EDGES, "4111111111111112", "999.1.1.1", "1.2.3.4.5", "2023-02-30", "000-12-3456", "version 12.5 of 2020", "a@b", "call 12345"]
     df = frame(spark, texts)
-    out = pii.pseudonymise(df)
+    out = pii.pseudonymise(df, "k")
     assert out.columns == df.columns and sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
-    assert pii.pseudonymise(df.limit(0)).count() == 0
+    assert pii.pseudonymise(df.limit(0), "k").count() == 0
     plan = out._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
 
