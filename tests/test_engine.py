@@ -288,3 +288,15 @@ def test_resolution_is_a_dict(spark, writes, per_run):
     half = compaction.merge_runs(parts.where("run_id % 2 = 0")).unionByName(compaction.merge_runs(parts.where("run_id % 2 = 1")))
     assert {r.key: r.value for r in resolve.visible(compaction.merge_runs(half)).collect()} == state
     assert {r.key: r.value for r in compaction.merge_runs(half, drop_deletes=True).collect()} == state
+
+
+def test_newest_versions_as_a_stream(spark, tmp_path):
+    """Update mode: each batch gives the keys that changed; later batches replace what earlier ones gave."""
+    source, state = str(tmp_path / "in"), {}
+    rows = [[(1, 1, "a", "x"), (2, 1, "b", "y")], [(4, 2, "a", None), (3, 1, "a", "z"), (5, 1, "c", "w")]]
+    for part in rows:
+        spark.createDataFrame(part, LOG).coalesce(1).write.mode("append").parquet(source)
+    stream = ingest.latest_by_key(spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(source))
+    take = lambda batch, _: state.update({r.key: (r.seq, r.live) for r in batch.collect()})
+    stream.writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    assert state == {"a": (4, False), "b": (2, True), "c": (5, True)}
