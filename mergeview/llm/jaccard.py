@@ -452,6 +452,8 @@ def _derived(pairs: DataFrame, near: DataFrame, sizes: DataFrame, docs: DataFram
     A set's shingles are its centre's, without those that only the centre has, and with those of its own; so the
     overlap of two sets differs from that of their centres by no more than these differences.
     """
+    if pairs.isEmpty():
+        return pairs
     centre = near.where(LINKED).groupBy("b").agg(F.max_by(F.struct("a", "n", "m", "both"), F.struct("both", "a")).alias("x"))
     centre = saved.keep(centre.select(F.col("b").alias("cls"), F.col("x.a").alias("centre"), (F.col("x.n") - F.col("x.both")).alias("less"), (F.col("x.m") - F.col("x.both")).alias("more")))
     held = pairs
@@ -470,6 +472,8 @@ def _derived(pairs: DataFrame, near: DataFrame, sizes: DataFrame, docs: DataFram
     # centres that link connect what they stand for; sets of one centre are connected already
     links = saved.keep(links.union(answers.where(LINKED).select("a", "b")).distinct())
     open_ = told.where("linked is null").select("a", "b")
+    if open_.isEmpty():
+        return links
     known = saved.keep(components(near.where(LINKED).select("a", "b").union(links), saved))
     root = lambda side: known.select(F.col("node").alias(side), F.col("component").alias(f"{side}_root"))
     open_ = open_.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")

@@ -248,9 +248,11 @@ def test_embedding_recall_with_a_long_mean(spark, norms, n):
     assert 0.95 * want <= found <= want
 
 
-def test_keys_grow_with_the_vectors():
+def test_keys_grow_with_the_vectors(monkeypatch):
+    monkeypatch.setattr(embeddings, "ITERATIONS", 2)
     x = with_mean(0.0, 3000, 64)
-    assert [len(embeddings.fit(x, n, 0.9)[2][0]) for n in (3_000, 300_000, 30_000_000, 3_000_000_000)] == sorted({len(embeddings.fit(x, n, 0.9)[2][0]) for n in (3_000, 300_000, 30_000_000, 3_000_000_000)})
+    bits = [len(embeddings.fit(x, n, 0.9)[2][0]) for n in (3_000, 3_000_000, 3_000_000_000)]
+    assert bits == sorted(set(bits)) and bits[0] >= 1
 
 
 def test_embedding_query_recall(spark):

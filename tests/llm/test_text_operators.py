@@ -345,9 +345,17 @@ def test_license_key_phrase_is_mandatory(spark):
     assert {r.doc_id: r.labels for r in rows} == {0: "mit", 1: ""}
 
 
-def test_grams_are_bounded():
+def test_runs_of_characters_are_hashed_alike_wherever_they_stand():
     from mergeview.llm import toxicity
 
     for t in EDGES:
-        g = toxicity.grams(t or "")
-        assert g.dtype == np.int32 and (not len(g) or (g.min() >= 0 and g.max() < 1 << 25))
+        c = toxicity.characters(t or "")
+        p = toxicity.padded(c)
+        assert c[0] == c[-1] == toxicity.BLANK and len(p) == len(c) + toxicity.ORDER - 2
+        for size in range(1, min(toxicity.ORDER, len(p)) + 1):
+            whole = toxicity.hashes(p, size)
+            assert len(whole) == len(p) - size + 1
+            for at in range(0, len(whole), max(1, len(whole) // 5)):
+                assert toxicity.hashes(p[at : at + size], size)[0] == whole[at]
+            known = {tuple(p[at : at + size].tolist()): h for at, h in enumerate(whole.tolist())}
+            assert len(set(known.values())) == len(known)
