@@ -222,11 +222,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 decoded_sha.append(sha(decoded))
                 same.append(decoded == text.encode("utf-8", "surrogatepass"))
                 if with_ids:
-                    lists.append([int(x) for x in ids.split(" ")] if ids else [])
+                    lists.append(np.fromstring(ids, np.int32, sep=" ") if ids else np.zeros(0, np.int32))
             out = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string()), pa.array(same, pa.bool_())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
             if with_ids:
-                out, names = [*out, pa.array(lists, pa.list_(pa.int32()))], [*names, "ids"]
+                ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+                out, names = [*out, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *lists])))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays([*out, *batch.columns[2:]], [*names, *keep])
 
     results = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", *["ids"] * with_ids]
